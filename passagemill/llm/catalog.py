@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_crf, simhash_dedup
+from . import decontaminate, language_crf, mixing, secrets_scan, simhash_dedup
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,18 +16,30 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.groups(table(spark, sf_dir, "documents"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_crf.identify(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
     "op3_decontaminate": op3_decontaminate,
+    "op5_mixing": op5_mixing,
     "op6_simhash": op6_simhash,
+    "op9_secrets": op9_secrets,
     "op10_language": op10_language,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op9_secrets": secrets_scan.ORACLE,
+}

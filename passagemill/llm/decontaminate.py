@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .shared import written
+from .shared import small, written
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
@@ -284,5 +284,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, o
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without those that hold a test item."""
-    bad = leaks(docs, benchmark, threshold).select(F.col("doc_id").alias("_leak_id")).distinct()
+    bad = small(written(leaks(docs, benchmark, threshold).select(F.col("doc_id").alias("_leak_id")).distinct(), "leaks"), 32)
     return docs.join(bad, docs["doc_id"] == bad["_leak_id"], "left_anti")

@@ -63,3 +63,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )
+
+
+def small(df: DataFrame, row_bytes: int, limit: int = 32 << 20) -> DataFrame:
+    """df marked for broadcast if its counted rows, of about row_bytes each, stay under the limit; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df

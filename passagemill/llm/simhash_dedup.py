@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .shared import components, written
+from .shared import components, small, written
 
 BITS = 128
 RADIUS = 20
@@ -207,4 +207,5 @@ def groups(docs: DataFrame, radius: int = RADIUS, recall: float = RECALL) -> Dat
 def dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """docs without those near duplicates whose doc_id is not the least of their group."""
     drop = groups(docs, radius).where("doc_id <> group_id").select(F.col("doc_id").alias("_drop_id")).distinct()
+    drop = small(written(drop, "copies"), 32)
     return docs.join(drop, docs["doc_id"] == drop["_drop_id"], "left_anti")
