@@ -6,16 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_crf, mixing, secrets_scan, simhash_dedup
+from . import chat_format, decontaminate, embedding_dedup, language_crf, mixing, secrets_scan, simhash_dedup, url_filter
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_chats(table(spark, sf_dir, "conversations"))
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.match_production(table(spark, sf_dir, "pages"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.groups(table(spark, sf_dir, "embeddings"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
@@ -33,7 +45,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_chat": op1_chat,
+    "op2_url_filter": op2_url_filter,
     "op3_decontaminate": op3_decontaminate,
+    "op4_embeddings": op4_embeddings,
     "op5_mixing": op5_mixing,
     "op6_simhash": op6_simhash,
     "op9_secrets": op9_secrets,
@@ -41,5 +56,6 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op2_url_filter": url_filter.oracle(),
     "op9_secrets": secrets_scan.ORACLE,
 }
