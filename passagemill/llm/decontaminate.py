@@ -35,6 +35,8 @@ STRIDE = 32
 OVERLAP = 0.6
 GRAM = 3
 BLOCK = 32
+#: The share of the threshold that an item's commonest terms, left out of the first bound, may weigh.
+COMMON = 0.5
 SHARD_BYTES = 8 << 20
 _MARKS = ("\nanswer:", " answer:", "\na:")
 
@@ -90,8 +92,8 @@ class Index:
             w /= w.sum()
             for t, x in zip(term.tolist(), w.tolist()):
                 post.setdefault(t, []).append((k, x))
-            order = np.argsort(w, kind="stable")
-            low = np.cumsum(w[order]) < threshold - 1e-9
+            order = np.lexsort((w, -d))  # the commonest terms first
+            low = np.cumsum(w[order]) < threshold * COMMON
             self.rest[k] = w[order][low].sum()
             for t, x in zip(term[order][~low].tolist(), w[order][~low].tolist()):
                 essential.setdefault(t, []).append((k, x))

@@ -79,15 +79,14 @@ def tokens(buf: np.ndarray, off: np.ndarray, table: np.ndarray = WORD) -> tuple[
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, int(n - 1).bit_length() if n > 1 else 1)
-    if size not in _powers:
-        _powers.clear()
-        inv = pow(_BASE, -1, 1 << 64)
+    """Powers of the base and of its inverse, for n places or more; the longest pair made so far is kept."""
+    if not _powers or len(_powers[0][0]) <= n:
+        size = 1 << max(20, int(n).bit_length())
         p = np.full(size + 1, _BASE, np.uint64)
-        q = np.full(size + 1, inv, np.uint64)
+        q = np.full(size + 1, pow(_BASE, -1, 1 << 64), np.uint64)
         p[0] = q[0] = 1
-        _powers[size] = np.multiply.accumulate(p), np.multiply.accumulate(q)
-    return _powers[size]
+        _powers[0] = np.multiply.accumulate(p), np.multiply.accumulate(q)
+    return _powers[0]
 
 
 def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
