@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, embedding_dedup, language_crf, mixing, secrets_scan, simhash_dedup, url_filter
+from . import chat_format, decontaminate, embedding_dedup, language_crf, mixing, phrase_automata, ppm_score, secrets_scan, simhash_dedup, url_filter
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,14 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.groups(table(spark, sf_dir, "documents"))
 
 
+def op7_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm_score.score(table(spark, sf_dir, "documents"))
+
+
+def op8_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_automata.passages(table(spark, sf_dir, "documents"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -51,6 +59,8 @@ QUERIES: dict[str, Query] = {
     "op4_embeddings": op4_embeddings,
     "op5_mixing": op5_mixing,
     "op6_simhash": op6_simhash,
+    "op7_ppm": op7_ppm,
+    "op8_phrases": op8_phrases,
     "op9_secrets": op9_secrets,
     "op10_language": op10_language,
 }
