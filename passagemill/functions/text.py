@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from passagemill.functions.vectors import let
+
 _EDGES = r"(?U)^[\s\x{FEFF}]+|[\s\x{FEFF}]+$"
 #: End tags that break a line.  A name matches by prefix, so </pre> breaks too.
 BREAKING = ("article", "br", "div", "h[1-6]", "li", "p", "section", "tr")
@@ -64,11 +66,6 @@ def overlap_tail(text: Column, overlap: int) -> Column:
     return F.when(F.length(text) <= overlap, text).when(space == 0, tail).otherwise(F.substr(tail, space + 1))
 
 
-def _let(value: Column, body) -> Column:
-    """body(value) with value worked out once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def split_to_budget(text: Column, budget: int, overlap: int) -> Column:
     """Passages of about budget characters: whole paragraphs packed, long ones cut, tails carried over.
 
@@ -82,14 +79,14 @@ def split_to_budget(text: Column, budget: int, overlap: int) -> Column:
         flush = (acc["cur"] != "") & (F.length(acc["cur"]) + F.length(p) + 1 > budget)
         kept = F.when(flush, overlap_tail(acc["cur"], overlap)).otherwise(acc["cur"])
         out = F.when(flush, F.concat(acc["out"], F.array(acc["cur"]))).otherwise(acc["out"])
-        joined = _let(kept, lambda k: F.when(k == "", p).otherwise(F.concat(k, F.lit("\n"), p)))
+        joined = let(kept, lambda k: F.when(k == "", p).otherwise(F.concat(k, F.lit("\n"), p)))
 
         def cut(cur: Column) -> Column:
             many = F.greatest(F.lit(0), F.ceil((F.length(cur) - most) / step).cast("int"))
             pieces = F.when(many > 0, F.transform(F.sequence(F.lit(0), F.greatest(many - 1, F.lit(0))), lambda i: F.substr(cur, i * step + 1, F.lit(budget)))).otherwise(F.array().cast("array<string>"))
             return F.struct(F.substr(cur, many * step + 1).alias("cur"), F.concat(out, pieces).alias("out"))
 
-        return _let(joined, cut)
+        return let(joined, cut)
 
     def finish(acc: Column) -> Column:
         return F.when(strip_space(acc["cur"]) != "", F.concat(acc["out"], F.array(acc["cur"]))).otherwise(acc["out"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,12 +30,17 @@ def squared_l2(a: Column, b: Column) -> Column:
     return _sum(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once: an expression named twice in a lambda is evaluated twice, and for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def unit(a: Column) -> Column:
-    return F.transform(a, lambda x: x.cast("double") / norm(a))
+    return let(norm(a), lambda n: F.transform(a, lambda x: x.cast("double") / n))
 
 
 def hashed_words(tokens: Column, dims: int = 64) -> Column:
     """A bag of words by feature hashing, of unit length (zero if there are no tokens): the offline stand-in for a neural embedding."""
     places = F.transform(tokens, lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint") % dims).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda b: F.size(F.filter(places, lambda p: p == b)).cast("double"))
-    return F.element_at(F.transform(F.array(counts), lambda c: F.transform(c, lambda x: x / F.greatest(norm(c), F.lit(1e-300)))), 1)
+    counts = let(places, lambda p: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda b: F.size(F.filter(p, lambda x: x == b)).cast("double")))
+    return let(counts, lambda c: let(F.greatest(norm(c), F.lit(1e-300)), lambda n: F.transform(c, lambda x: x / n)))

@@ -63,11 +63,12 @@ def two_stage(pool: DataFrame, providers: Providers, tuning: Tuning = TUNING) ->
 def retrieve(questions: DataFrame, chunks: DataFrame, providers: Providers | None = None, tuning: Tuning = TUNING, vectors: DataFrame | None = None) -> Detail:
     """questions (qid, question), chunks (id, chapter, order, chunk_index, text)."""
     providers = providers or Providers()
-    questions = clean_questions(questions)
-    titles = matched_titles(questions, chapter_list(chunks))
+    # What several branches read is kept in memory or on disk once it is made.
+    questions = clean_questions(questions).persist()
+    titles = matched_titles(questions, chapter_list(chunks)).persist()
     texts = expanded(questions, titles, providers)
-    candidates = gather(texts, chunks, providers, tuning, vectors).join(chunks.select("id", "chapter", "order", "text"), "id")
-    scored = ranking.ranked(two_stage(candidates.join(texts.select("qid", "query"), "qid"), providers, tuning).drop("query"))
+    candidates = gather(texts, chunks, providers, tuning, vectors).join(chunks.select("id", "chapter", "order", "text"), "id").persist()
+    scored = ranking.ranked(two_stage(candidates.join(texts.select("qid", "query"), "qid"), providers, tuning).drop("query")).persist()
     kept = ranking.rank_and_pin(scored.drop("rank"), titles, questions, tuning)
     return Detail(titles, texts, candidates, scored, kept)
 

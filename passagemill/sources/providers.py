@@ -18,17 +18,18 @@ from pyspark.sql import functions as F
 
 from passagemill.functions.answers import term_list
 from passagemill.functions.text import tokens
-from passagemill.functions.vectors import hashed_words
+from passagemill.functions.vectors import hashed_words, let
 
 
 def _share(q: Column, p: Column) -> Column:
-    return F.when(F.size(q) > 0, F.size(F.array_intersect(q, p)) / F.size(q)).otherwise(0.0)
+    """The share of q's distinct elements that p has."""
+    return let(F.array_distinct(q), lambda x: F.when(F.size(x) > 0, F.size(F.array_intersect(x, p)) / F.size(x)).otherwise(0.0))
 
 
 def _pairs(words: Column) -> Column:
+    """Neighbouring words, zipped with themselves moved on by one."""
     n = F.size(words)
-    made = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1)))
-    return F.when(n > 1, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
+    return F.when(n > 1, F.zip_with(F.slice(words, F.lit(1), n - 1), F.slice(words, F.lit(2), n - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
 
 
 def embed_words(df: DataFrame) -> DataFrame:
@@ -43,14 +44,14 @@ def no_expansion(questions: DataFrame) -> DataFrame:
 
 def cheap_overlap(pool: DataFrame) -> DataFrame:
     """pool (query, text) with cheap: the share of the query's distinct tokens that the passage has."""
-    q, p = (F.array_distinct(tokens(F.col(c))) for c in ("query", "text"))
-    return pool.withColumn("cheap", F.round(_share(q, p), 6))
+    return pool.withColumn("cheap", F.round(_share(tokens(F.col("query")), tokens(F.col("text"))), 6))
 
 
 def lexical_logit(pool: DataFrame) -> DataFrame:
     """pool (query, text) with score: -6 without a common token, up to 6 with all tokens and pairs of tokens."""
-    q, p = (tokens(F.col(c)) for c in ("query", "text"))
-    return pool.withColumn("score", F.round(10 * _share(F.array_distinct(q), F.array_distinct(p)) + 2 * _share(_pairs(q), _pairs(p)) - 6, 6))
+    words = F.array(F.struct(tokens(F.col("query")).alias("q"), tokens(F.col("text")).alias("p")))
+    score = F.transform(words, lambda w: 10 * _share(w["q"], w["p"]) + 2 * _share(_pairs(w["q"]), _pairs(w["p"])) - 6)
+    return pool.withColumn("score", F.round(F.element_at(score, 1), 6))
 
 
 def extract_answer(asked: DataFrame) -> DataFrame:
