@@ -113,7 +113,7 @@ def forward_backward(emit: np.ndarray, first: np.ndarray, trans: np.ndarray, sta
     pad = -n % _BLOCK
     em = np.ones((n + pad, k))
     em[:n] = np.exp(emit - emit.max(axis=1, keepdims=True))
-    st = np.zeros(n + pad, bool)
+    st = np.ones(n + pad, bool)  # what pads the last block begins anew, so nothing flows back from it
     st[:n] = first
     st[0] = True
     em, st = em.reshape(-1, _BLOCK, k), st.reshape(-1, _BLOCK)
