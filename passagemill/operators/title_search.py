@@ -78,7 +78,8 @@ def scoped_chapters(questions: DataFrame, chapters: DataFrame, tuning: Tuning =
 
 def title_search(questions: DataFrame, chunks: DataFrame, k: int = TUNING.title_k, tuning: Tuning = TUNING) -> DataFrame:
     """(qid, id, rank): passages of the named chapters by BM25, then those that hold a symbol, then any, first place first."""
-    scope = scoped_chapters(questions, chapter_list(chunks), tuning)
+    # Three branches read it; matching titles is dearer than keeping (qid, chapter) pairs.
+    scope = scoped_chapters(questions, chapter_list(chunks), tuning).persist()
     inside = scope.join(chunks, "chapter").select("qid", "id", "order", "chunk_index", "text")
     fts = bm25.search(chunks, questions, k, scope=inside.select("qid", "id")).select("qid", "id", F.lit(1).alias("source"), F.col("rank").alias("place"))
     reading = W.Window.partitionBy("qid").orderBy("order", "chunk_index", "id")
