@@ -7,9 +7,11 @@ the next shorter one (method C: the escape weighs as many as the context's disti
 leaving out the symbols that the longer context would have coded.  A document's score is its
 code length.
 
-The trie goes to every executor, so its size is bounded: grams seen once are dropped, and, if
-more than max_grams are left, so are the next rarest, a whole count at a time (a parameter of
-the model's capacity; at least the grams seen most stay).
+All grams seen min_count times are kept, however many.  The trie goes to every executor in
+shards of about SHARD_GRAMS grams, cut by the last KEY_BYTES bytes of the context, last byte
+first: a gram's contexts of all lengths then lie in one shard, so each shard is a whole model
+for its grams.  With more than one shard a task holds documents up to HELD_BYTES and has one
+shard in memory at a time.
 
 Defined results: an empty or null text has no bytes, no bits and null bits per byte; before
 the first byte the context is zero bytes; every row is scored for itself, so repeated rows and
@@ -19,11 +21,13 @@ are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
@@ -31,7 +35,9 @@ from .shared import written
 
 ORDER = 4
 MIN_COUNT = 2
-MAX_GRAMS = 4_000_000
+SHARD_GRAMS = 2_000_000
+KEY_BYTES = 3
+HELD_BYTES = 128 << 20
 
 
 def grams(buf: np.ndarray, off: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -67,21 +73,19 @@ def _at(keys: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    def __init__(self, top: np.ndarray, n: np.ndarray, lower: np.ndarray, lower_n: np.ndarray, order: int = ORDER, min_count: int = MIN_COUNT):
-        """From the counts of grams of the full length, and of those a byte shorter (all that occur, for exact sums)."""
-        self.order = order
+    def __init__(self, counted: list[tuple[np.ndarray, np.ndarray]]):
+        """From the grams of each length, shortest first, with their counts."""
+        self.order = len(counted) - 1
         self.levels: list[Level] = []
-        for k in range(order + 1):
-            longest, counts = (top, n) if k == order else (lower, lower_n)
-            mask = (1 << 8 * (k + 1)) - 1
-            g, back = np.unique(longest & mask, return_inverse=True)
-            c = np.bincount(back, counts, len(g)).astype(np.int64)
-            g, c = g[c >= min_count], c[c >= min_count]
+        for k, (g, c) in enumerate(counted):
+            by = np.argsort(g)
+            g, c = g[by], c[by]
             ctx, where = np.unique(g >> 8, return_inverse=True)
             if k:
-                i, _ = _at(self.levels[-1].grams, g & ((1 << 8 * k) - 1))
-                shorter = self.levels[-1].counts[i] if len(g) else c
-                excluded = np.bincount(where, shorter, len(ctx))
+                i, known = _at(self.levels[-1].grams, g & ((1 << 8 * k) - 1))
+                if not known.all():
+                    raise ValueError(f"grams of {k + 1} bytes without their last {k}")
+                excluded = np.bincount(where, self.levels[-1].counts[i] if len(g) else c, len(ctx))
             else:
                 excluded = np.zeros(len(ctx))
             self.levels.append(Level(g, c, ctx, np.bincount(where, c, len(ctx)), np.bincount(where, minlength=len(ctx)).astype(float), excluded))
@@ -180,48 +184,151 @@ def _count(order: int):
     return run
 
 
-def fit(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, max_grams: int = MAX_GRAMS) -> Model:
-    g = docs.select("text").where("text is not null").mapInArrow(_count(order), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    g = written(g, "grams")
-    lower = g.groupBy(F.col("gram").bitwiseAND((1 << 8 * order) - 1).alias("gram")).agg(F.sum("n").alias("n"))
-    top, low = (_largest(x, floor, max_grams) for x, floor in ((g, min_count), (lower, 1)))
-    return Model(top[0], top[1], low[0], low[1], order, min_count)
+def _place(ctx):
+    """Where a context (an array or a column) lies: its last KEY_BYTES bytes, last byte first."""
+    if isinstance(ctx, Column):
+        byte = lambda i: F.shiftleft(F.shiftright(ctx, 8 * i).bitwiseAND(255), 8 * (KEY_BYTES - 1 - i))
+    else:
+        byte = lambda i: (ctx >> 8 * i & 255) << 8 * (KEY_BYTES - 1 - i)
+    return sum((byte(i) for i in range(1, KEY_BYTES)), byte(0))
 
 
-def _largest(g: DataFrame, floor: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Grams seen at least floor times, with their counts; with more than limit of them, the floor rises."""
+def trie(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT) -> DataFrame:
+    """(k, gram, n, place) of every gram of k + 1 bytes, k up to the order, seen min_count times in all documents."""
+    g = docs.select("text").where("text is not null").mapInArrow(_count(order), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    g = written(g, "grams")
+    shorter = lambda x, k: x.groupBy(F.col("gram").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("gram")).agg(F.sum("n").alias("n"))
+    by = {order: g}
+    if order:
+        by[order - 1] = written(shorter(g, order - 1), "grams-lower")
+    for k in range(order - 1):
+        by[k] = shorter(by[order - 1], k)
+    levels = [x.where(F.col("n") >= min_count).select(F.lit(k).alias("k"), "gram", "n", _place(F.shiftright("gram", 8)).alias("place")) for k, x in by.items()]
+    return written(reduce(DataFrame.unionByName, levels), "trie")
+
+
+def _load(t: DataFrame, order: int) -> Model:
+    x = t.select("k", "gram", "n").toPandas()
+    k, g, n = (x[c].to_numpy(np.int64) for c in ("k", "gram", "n"))
+    return Model([(g[k == i], n[k == i]) for i in range(order + 1)])
+
+
+def cuts(t: DataFrame, limit: int) -> np.ndarray:
+    """First places of the shards, each of about limit grams: a context of KEY_BYTES bytes is not cut."""
+    bits = 8  # contexts are counted by all but their first byte, and by all of it only where that is too coarse
+    t = t.where(F.col("k") >= KEY_BYTES - 1)
+    coarse = t.groupBy(F.shiftright("place", bits).alias("at")).count().collect()
+    big = {r["at"] for r in coarse if r["count"] > limit}
+    sizes = [(r["at"] << bits, r["count"]) for r in coarse if r["at"] not in big]
+    if big:
+        fine = t.where(F.shiftright("place", bits).isin(sorted(big))).groupBy("place").count()
+        sizes += [(r["place"], r["count"]) for r in fine.collect()]
+    first, held = [0], 0
+    for place, n in sorted(sizes):
+        if held and held + n > limit:
+            first.append(place)
+            held = 0
+        held += n
+    return np.array(first, np.int64)
+
+
+def shards(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, limit: int = SHARD_GRAMS) -> tuple[np.ndarray, Iterator[Model]]:
+    """The first places of the shards of the model of all documents, and the shards one by one."""
+    t = trie(docs, order, min_count)
+    first = cuts(t, limit)
+    if len(first) == 1:
+        return first, iter([_load(t, order)])
+    t = written(t.repartitionByRange("place").sortWithinPartitions("place"), "trie-sorted")
+    ends = [*first[1:].tolist(), 1 << 8 * KEY_BYTES]
+    # A context shorter than the key lies in every shard that has a longer one ending with it.
+    width = F.expr(f"shiftleft(1L, 8 * greatest({KEY_BYTES} - k, 0))")
+    return first, (_load(t.where((F.col("place") < hi) & (F.col("place") + width > lo)), order) for lo, hi in zip(first.tolist(), ends))
+
+
+def fit(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, max_grams: int | None = None) -> Model:
+    """The model in one piece, for a caller with the memory for it; max_grams makes a lesser model of the longest grams seen most."""
+    t = trie(docs, order, min_count)
+    if max_grams is not None:
+        top = t.where(F.col("k") == order)
+        t = t.where(F.col("k") < order).unionByName(top.where(F.col("n") >= _floor(top, min_count, max_grams)))
+    return _load(t, order)
+
+
+def _floor(g: DataFrame, floor: int, limit: int) -> int:
+    """The least count, from floor on, that no more than limit grams reach (or those seen most)."""
     size = 0
-    for r in g.where(F.col("n") >= floor).groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
+    for r in g.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
         if size and size + r["count"] > limit:
-            floor = r["n"] + 1
-            break
+            return r["n"] + 1
         size += r["count"]
-    kept = g.where(F.col("n") >= floor).toPandas()
-    return kept["gram"].to_numpy(np.int64), kept["n"].to_numpy(np.int64)
+    return floor
 
 
 def from_counts(grams: np.ndarray, counts: np.ndarray, order: int = ORDER, min_count: int = MIN_COUNT) -> Model:
     """The model of all grams' counts at hand."""
-    low, back = np.unique(grams & ((1 << 8 * order) - 1), return_inverse=True)
-    keep = counts >= min_count
-    return Model(grams[keep], counts[keep], low, np.bincount(back, counts, len(low)).astype(np.int64), order, min_count)
+    levels = []
+    for k in range(order + 1):
+        g, back = np.unique(grams & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
+        c = np.bincount(back, counts, len(g)).astype(np.int64)
+        levels.append((g[c >= min_count], c[c >= min_count]))
+    return Model(levels)
 
 
 OUT = "doc_id bigint, n_bytes bigint, bits double, bits_per_byte double"
 
 
-def score(docs: DataFrame, model: Model | None = None, order: int = ORDER) -> DataFrame:
-    """(doc_id, n_bytes, bits, bits_per_byte) of every row, under a model of all rows if none is given."""
-    sent = docs.sparkSession.sparkContext.broadcast(model or fit(docs, order))
+def _piecewise(first: np.ndarray, sent: list, order: int):
+    """Scores with one shard in memory at a time, over as many documents as HELD_BYTES take."""
+
+    def flush(held):
+        for s, shard in enumerate(sent):
+            model = None
+            for _, _, g, _, bits in held:
+                mine = np.flatnonzero(np.searchsorted(first, _place(g >> 8), "right") - 1 == s)
+                if len(mine):
+                    model = model or shard.value
+                    bits[mine] = model.bits(g[mine])
+            shard.__dict__.pop("_value", None)  # else every shard would stay in memory
+        for ids, off, _, back, bits in held:
+            row = np.repeat(np.arange(len(off) - 1), np.diff(off))
+            yield _scored(ids, off, np.bincount(row, bits[back], len(off) - 1))
 
     def run(batches):
-        model = sent.value
+        held, size = [], 0
+        for b in batches:
+            for lo, hi, buf, off in tn.slices(tn.column(b, "text")):
+                g, back = np.unique(grams(buf, off, order)[0], return_inverse=True)
+                held.append((b.column(0).slice(lo, hi - lo), off, g, back.astype(np.int32), np.zeros(len(g))))
+                size += sum(x.nbytes for x in held[-1][1:])
+                if size > HELD_BYTES:
+                    yield from flush(held)
+                    held, size = [], 0
+        yield from flush(held)
+
+    return run
+
+
+def _scored(ids: pa.Array, off: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
+    size = np.diff(off)
+    rate = pa.array(bits / np.maximum(size, 1), mask=size == 0)
+    return pa.RecordBatch.from_arrays([ids, pa.array(size), pa.array(bits), rate], ["doc_id", "n_bytes", "bits", "bits_per_byte"])
+
+
+def score(docs: DataFrame, model: Model | None = None, order: int = ORDER, shard_grams: int = SHARD_GRAMS) -> DataFrame:
+    """(doc_id, n_bytes, bits, bits_per_byte) of every row, under a model of all rows if none is given."""
+    first, models = (np.zeros(1, np.int64), iter([model])) if model else shards(docs, order, limit=shard_grams)
+    sent = []
+    for m in models:
+        sent.append(docs.sparkSession.sparkContext.broadcast(m))
+        if len(first) > 1:
+            sent[-1].__dict__.pop("_value", None)  # it is in a file; the driver too holds one shard at a time
+
+    def whole(batches):
+        model = sent[0].value
         for b in batches:
             for lo, hi, buf, off in tn.slices(tn.column(b, "text")):
                 g, row = grams(buf, off, model.order)
-                size = np.diff(off)
-                bits = np.bincount(row, model.bits(g), hi - lo)
-                rate = pa.array(bits / np.maximum(size, 1), mask=size == 0)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(size), pa.array(bits), rate], ["doc_id", "n_bytes", "bits", "bits_per_byte"])
+                yield _scored(b.column(0).slice(lo, hi - lo), off, np.bincount(row, model.bits(g), hi - lo))
 
+    run = whole if len(first) == 1 else _piecewise(first, sent, order)
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, OUT)

@@ -312,6 +312,27 @@ def test_ppm_against_a_symbol_at_a_time(spark):
     assert len(few.levels[-1].grams) <= 50 and all(np.isfinite(r.bits) and r.bits >= 0 for r in ppm_score.score(docs(spark, rows), few).collect())
 
 
+def test_ppm_keeps_every_gram_beyond_one_shard(spark, monkeypatch):
+    rows = [(i, " ".join(prose(i, 40)), "en") for i in range(30)] + [(40, None, "en"), (41, "", "en"), (42, "Ünseen 日本 QXZ", "en"), (None, "abc", "en")]
+    texts = [t.encode() for _, t, _ in rows if t is not None]
+    want = sorted((len((t or "").encode()), _ppm(texts, (t or "").encode())) for _, t, _ in rows)
+    first, models = ppm_score.shards(docs(spark, rows), limit=200)
+    parts = list(models)
+    assert len(parts) == len(first) > 5
+    whole = ppm_score.fit(docs(spark, rows)).levels[-1]
+    assert sorted(zip(whole.grams, whole.counts)) == sorted(x for m in parts for x in zip(m.levels[-1].grams, m.levels[-1].counts))
+    for held in (ppm_score.HELD_BYTES, 1):
+        monkeypatch.setattr(ppm_score, "HELD_BYTES", held)
+        have = sorted((r.n_bytes, r.bits) for r in ppm_score.score(docs(spark, rows), shard_grams=200).collect())
+        assert [x[0] for x in have] == [x[0] for x in want] and [x[1] for x in have] == pytest.approx([x[1] for x in want], rel=1e-4, abs=1e-6)
+
+
+def test_ppm_refuses_grams_without_their_suffix():
+    counted = [(np.array([97]), np.array([4])), (np.array([97 << 8 | 98]), np.array([2]))]
+    with pytest.raises(ValueError):
+        ppm_score.Model(counted)
+
+
 # 8
 
 
