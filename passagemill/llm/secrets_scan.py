@@ -1,6 +1,7 @@
 """Operator 9: secret scans that link the parts of a credential.
 
-One regular expression finds access identifiers, secrets and endpoints; an interval join links
+One regular expression finds access identifiers, secrets and endpoints; those that it passes
+over inside a longer part (a token in a URL) are searched for by themselves; an interval join links
 complementary parts (a secret with an identifier or an endpoint) that lie within a scope of
 text.  Strong parts (a provider's key format, a named assignment of a secret) are reported by
 themselves; weak ones (user names, mail addresses, hosts, bare key-like runs) only when
@@ -10,7 +11,7 @@ Positions are zero-based code points.  Values are given as MD5, never in clear.
 
 Defined results: a null or empty text has no parts; a null doc_id keeps its parts, under null;
 rows that repeat a (doc_id, text) count once; every complementary part in scope is counted, so
-ties need no order; extra columns are not read.
+ties need no order; parts may overlap, and are masked as one; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -32,17 +33,22 @@ MAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,5}"
 URL = r"[a-z][a-z0-9+]{1,15}://[^ \t\r\n\"'<>]{3,512}"
 HOST = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]{2,5})?"
 ANY = "|".join((KEY_ID, ASSIGNED, USER, MAIL, URL, HOST, RUN))
+#: user:password before an endpoint's host.
+LOGIN = r"[^ \t\r\n\"'<>/?#@:]*:[^ \t\r\n\"'<>/?#]+"
+#: What is searched for by itself too: a match of ANY may hold it and be of another kind, or weaker.
+INNER = ((KEY_ID, "access strong"), (ASSIGNED, "secret strong"), (f"(?<=://){LOGIN}(?=@)", "secret strong"), (USER, "access weak"))
 #: Without a part of these a document has nothing to report: weak identifiers and endpoints need a secret.
-NEEDED = "|".join((KEY_ID, ASSIGNED, RUN))
+NEEDED = "|".join((KEY_ID, ASSIGNED, RUN, f"://{LOGIN}@"))
 
 
 def parts(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, start_pos, end_pos, kind, strength, value_md5) of every part of documents that may be reported."""
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.col("text").rlike(NEEDED)).distinct()
-    d = d.select("doc_id", F.md5("text").alias("text_key"), F.expr("regexp_extract_all(text, :p, 0)".replace(":p", _lit(ANY))).alias("m"), F.split("text", ANY).alias("gap"))
-    x = d.select("doc_id", "text_key", F.posexplode(F.arrays_zip("m", "gap"))).where("col.m is not null")
-    run = W.Window.partitionBy("doc_id", "text_key").orderBy("pos").rowsBetween(W.Window.unboundedPreceding, 0)
-    x = x.select("doc_id", "text_key", "col.m", F.sum(F.length("col.gap") + F.length("col.m")).over(run).cast("int").alias("end_pos"))
+    search = lambda i, p: F.struct(F.lit(i).alias("search"), F.expr(f"regexp_extract_all(text, {_lit(p)}, 0)").alias("m"), F.split("text", p).alias("gap"))
+    d = d.select("doc_id", F.md5("text").alias("text_key"), F.explode(F.array(*(search(i, p) for i, p in enumerate((ANY, *(p for p, _ in INNER)))))).alias("s"))
+    x = d.select("doc_id", "text_key", "s.search", F.posexplode(F.arrays_zip("s.m", "s.gap"))).where("col.m is not null")
+    run = W.Window.partitionBy("doc_id", "text_key", "search").orderBy("pos").rowsBetween(W.Window.unboundedPreceding, 0)
+    x = x.select("doc_id", "text_key", "search", "col.m", F.sum(F.length("col.gap") + F.length("col.m")).over(run).cast("int").alias("end_pos"))
     whole = lambda p: F.col("m").rlike(f"^(?:{p})$")
     label = (
         F.when(whole(KEY_ID), "access strong")
@@ -51,9 +57,16 @@ def parts(docs: DataFrame) -> DataFrame:
         .when(whole(URL) | whole(HOST), "endpoint weak")
         .when(F.col("m").rlike("[0-9]") & F.col("m").rlike("[A-Za-z]"), "secret weak")
     )
-    x = x.withColumn("label", label).where("label is not null")
+    inner = F.element_at(F.array(*(F.lit(k) for _, k in INNER)), F.col("search"))
+    x = x.withColumn("label", F.when(F.col("search") > 0, inner).otherwise(label)).where("label is not null")
     kind, strength = (F.split_part("label", F.lit(" "), F.lit(i)).alias(c) for i, c in ((1, "kind"), (2, "strength")))
-    return x.select("doc_id", "text_key", (F.col("end_pos") - F.length("m")).alias("start_pos"), "end_pos", kind, strength, F.md5("m").alias("value_md5"))
+    x = x.select("doc_id", "text_key", (F.col("end_pos") - F.length("m")).alias("start_pos"), "end_pos", kind, strength, F.md5("m").alias("value_md5"), "search")
+    # What lies in a match of ANY that is of its kind and no weaker is no part of its own.
+    upto = W.Window.partitionBy("doc_id", "text_key", "kind").orderBy("start_pos").rangeBetween(W.Window.unboundedPreceding, 0)
+    covered = F.max(F.when(F.col("search") == 0, F.col("end_pos"))).over(upto)
+    strongly = F.max(F.when((F.col("search") == 0) & (F.col("strength") == "strong"), F.col("end_pos"))).over(upto)
+    x = x.withColumn("covered", F.coalesce(F.when(F.col("strength") == "strong", strongly).otherwise(covered), F.lit(0)))
+    return x.where("search = 0 or covered < end_pos").drop("search", "covered").distinct()
 
 
 def _lit(pattern: str) -> str:
@@ -91,7 +104,7 @@ def redact(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     x = x.join(spans, x["doc_id"].cast("bigint").eqNullSafe(spans["_id"]) & (x["_text_key"] == spans["_key"]), "left")
     built = F.expr(
         f"""aggregate(_spans, struct(0 as at, '' as out),
-            (a, s) -> struct(s.end_pos as at, concat(a.out, substring(text, a.at + 1, s.start_pos - a.at), '{MASK}') as out),
+            (a, s) -> struct(greatest(a.at, s.end_pos) as at, if(s.start_pos < a.at, a.out, concat(a.out, substring(text, a.at + 1, s.start_pos - a.at), '{MASK}')) as out),
             a -> concat(a.out, substring(text, a.at + 1)))"""
     )
     x = x.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(built))
@@ -104,15 +117,26 @@ def _sql(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
+#: The SQL's own expressions, as first written: one alternation, lengths bounded.
+_ORACLE_KEY_ID = r"AKIA[A-Z0-9]{16}"
+_ORACLE_ASSIGNED = r"(?i:password|passwd|pwd|secret|token|api_key|apikey|access_key)[ \t]{0,3}[=:][ \t]{0,3}[\"']?[A-Za-z0-9+/_.~-]{8,256}[\"']?"
+_ORACLE_RUN = r"[A-Za-z0-9+/]{32,256}"
+_ORACLE_USER = r"(?i:username|user|login|client_id|account)[ \t]{0,3}[=:][ \t]{0,3}[\"']?[A-Za-z0-9@._-]{3,128}[\"']?"
+_ORACLE_MAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,5}"
+_ORACLE_URL = r"[a-z][a-z0-9+]{1,15}://[^ \t\r\n\"'<>]{3,512}"
+_ORACLE_HOST = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]{2,5})?"
+_ORACLE_ANY = "|".join((_ORACLE_KEY_ID, _ORACLE_ASSIGNED, _ORACLE_USER, _ORACLE_MAIL, _ORACLE_URL, _ORACLE_HOST, _ORACLE_RUN))
+_ORACLE_NEEDED = "|".join((_ORACLE_KEY_ID, _ORACLE_ASSIGNED, _ORACLE_RUN))
+
 ORACLE = f"""
-WITH d AS (SELECT DISTINCT CAST(doc_id AS BIGINT) AS doc_id, text FROM documents WHERE regexp_matches(text, {_sql(NEEDED)})),
-x AS (SELECT doc_id, md5(text) AS text_key, regexp_extract_all(text, {_sql(ANY)}) AS m, regexp_split_to_array(text, {_sql(ANY)}) AS gap FROM d),
+WITH d AS (SELECT DISTINCT CAST(doc_id AS BIGINT) AS doc_id, text FROM documents WHERE regexp_matches(text, {_sql(_ORACLE_NEEDED)})),
+x AS (SELECT doc_id, md5(text) AS text_key, regexp_extract_all(text, {_sql(_ORACLE_ANY)}) AS m, regexp_split_to_array(text, {_sql(_ORACLE_ANY)}) AS gap FROM d),
 y AS (SELECT doc_id, text_key, m, gap, unnest(range(1, len(m) + 1)) AS i FROM x),
 z AS (SELECT doc_id, text_key, m[i] AS m, i, sum(length(gap[i]) + length(m[i])) OVER (PARTITION BY doc_id, text_key ORDER BY i) AS end_pos FROM y),
 p AS (SELECT doc_id, text_key, CAST(end_pos - length(m) AS INTEGER) AS start_pos, CAST(end_pos AS INTEGER) AS end_pos, md5(m) AS value_md5,
-        CASE WHEN regexp_full_match(m, {_sql(KEY_ID)}) THEN 'access strong' WHEN regexp_full_match(m, {_sql(ASSIGNED)}) THEN 'secret strong'
-             WHEN regexp_full_match(m, {_sql(USER)}) OR regexp_full_match(m, {_sql(MAIL)}) THEN 'access weak'
-             WHEN regexp_full_match(m, {_sql(URL)}) OR regexp_full_match(m, {_sql(HOST)}) THEN 'endpoint weak'
+        CASE WHEN regexp_full_match(m, {_sql(_ORACLE_KEY_ID)}) THEN 'access strong' WHEN regexp_full_match(m, {_sql(_ORACLE_ASSIGNED)}) THEN 'secret strong'
+             WHEN regexp_full_match(m, {_sql(_ORACLE_USER)}) OR regexp_full_match(m, {_sql(_ORACLE_MAIL)}) THEN 'access weak'
+             WHEN regexp_full_match(m, {_sql(_ORACLE_URL)}) OR regexp_full_match(m, {_sql(_ORACLE_HOST)}) THEN 'endpoint weak'
              WHEN regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') THEN 'secret weak' END AS label FROM z),
 q AS (SELECT *, split_part(label, ' ', 1) AS kind, split_part(label, ' ', 2) AS strength FROM p WHERE label IS NOT NULL),
 r AS (SELECT a.doc_id, a.text_key, a.start_pos, a.end_pos, a.kind, a.strength, a.value_md5,

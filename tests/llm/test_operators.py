@@ -393,6 +393,26 @@ def test_secrets_link_in_scope(spark):
     assert secrets_scan.scan(df.where("false")).count() == 0
 
 
+def _scanned(spark, texts):
+    """Parts as (kind, strength, text) and the masked text, of each text."""
+    df = docs(spark, [(i, t, "en") for i, t in enumerate(texts)])
+    got = [[] for _ in texts]
+    for r in secrets_scan.scan(df).collect():
+        got[r.doc_id].append((r.kind, r.strength, texts[r.doc_id][r.start_pos : r.end_pos]))
+    return [sorted(x) for x in got], [r.text for r in secrets_scan.redact(df).orderBy("doc_id").collect()]
+
+
+def test_secrets_inside_longer_parts(spark):
+    key = "AKIA" + "A1" * 8
+    token, login = "https://api.example.com/v1?token=abcd1234efgh5678", "postgres://admin:password@host"
+    parts, masked = _scanned(spark, [f"see {token} now", f"see https://h.example.com/{key} now", f"see {login} now", f"user={key} now", "see https://h.example.com/x now"])
+    assert parts == [
+        [("endpoint", "weak", token), ("secret", "strong", "token=abcd1234efgh5678")], [("access", "strong", key)],
+        [("endpoint", "weak", login), ("secret", "strong", "admin:password")], [("access", "strong", key)], [],
+    ]
+    assert masked == ["see [SECRET] now", "see https://h.example.com/[SECRET] now", "see [SECRET] now", "user=[SECRET] now", "see https://h.example.com/x now"]
+
+
 # 10
 
 
