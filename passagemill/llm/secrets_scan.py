@@ -25,12 +25,13 @@ from .shared import small, written
 SCOPE = 300
 MASK = "[SECRET]"
 
+# Secrets, user names and endpoints have no greatest length: the rest of a longer one would be neither linked nor masked.
 KEY_ID = r"AKIA[A-Z0-9]{16}"
-ASSIGNED = r"(?i:password|passwd|pwd|secret|token|api_key|apikey|access_key)[ \t]{0,3}[=:][ \t]{0,3}[\"']?[A-Za-z0-9+/_.~-]{8,256}[\"']?"
-RUN = r"[A-Za-z0-9+/]{32,256}"
-USER = r"(?i:username|user|login|client_id|account)[ \t]{0,3}[=:][ \t]{0,3}[\"']?[A-Za-z0-9@._-]{3,128}[\"']?"
+ASSIGNED = r"(?i:password|passwd|pwd|secret|token|api_key|apikey|access_key)[ \t]{0,3}[=:][ \t]{0,3}[\"']?[A-Za-z0-9+/_.~-]{8,}[\"']?"
+RUN = r"[A-Za-z0-9+/]{32,}+"
+USER = r"(?i:username|user|login|client_id|account)[ \t]{0,3}[=:][ \t]{0,3}[\"']?[A-Za-z0-9@._-]{3,}[\"']?"
 MAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,5}"
-URL = r"[a-z][a-z0-9+]{1,15}://[^ \t\r\n\"'<>]{3,512}"
+URL = r"[a-z][a-z0-9+]{1,15}://[^ \t\r\n\"'<>]{3,}+"
 HOST = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]{2,5})?"
 ANY = "|".join((KEY_ID, ASSIGNED, USER, MAIL, URL, HOST, RUN))
 #: user:password before an endpoint's host.

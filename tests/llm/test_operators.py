@@ -413,6 +413,13 @@ def test_secrets_inside_longer_parts(spark):
     assert masked == ["see [SECRET] now", "see https://h.example.com/[SECRET] now", "see [SECRET] now", "user=[SECRET] now", "see https://h.example.com/x now"]
 
 
+def test_secrets_of_any_length(spark):
+    texts = ["token = " + "x1" * 350 + " end", "user = bob " + "a1" * 800 + " end", "https://h.example.com/" + "p" * 900 + " " + "a1" * 20 + " end", "user=" + "b" * 400 + " password=abc123def456 end", "pwd=" + "z9" * 50_000]
+    parts, masked = _scanned(spark, texts)
+    assert [len(x) for x in parts] == [1, 2, 2, 2, 1]
+    assert masked == ["[SECRET] end", "[SECRET] [SECRET] end", "[SECRET] [SECRET] end", "[SECRET] [SECRET] end", "[SECRET]"]
+
+
 # 10
 
 
