@@ -27,19 +27,22 @@ MASK = "[SECRET]"
 
 # Secrets, user names and endpoints have no greatest length: the rest of a longer one would be neither linked nor masked.
 KEY_ID = r"AKIA[A-Z0-9]{16}"
-ASSIGNED = r"(?i:password|passwd|pwd|secret|token|api_key|apikey|access_key)[ \t]{0,3}[=:][ \t]{0,3}[\"']?[A-Za-z0-9+/_.~-]{8,}[\"']?"
+ASSIGNED = r"(?i:password|passwd|pwd|secret|token|api_key|apikey|access_key)[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?[A-Za-z0-9+/_.~-]{8,}[\"']?"
 RUN = r"[A-Za-z0-9+/]{32,}+"
-USER = r"(?i:username|user|login|client_id|account)[ \t]{0,3}[=:][ \t]{0,3}[\"']?[A-Za-z0-9@._-]{3,}[\"']?"
+USER = r"(?i:username|user|login|client_id|account)[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?[A-Za-z0-9@._-]{3,}[\"']?"
+PEM = r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:\s+[A-Za-z-]+: [^\r\n]*){0,20}(?:[A-Za-z0-9+/=\s\\]*-----END [A-Z ]*PRIVATE KEY-----|[\s\\n]+[A-Za-z0-9+/=]{16}[A-Za-z0-9+/=\s\\]*)"
+#: Secrets known by their provider's prefix.
+PREFIXED = r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_-]{20,}|xox[abeoprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}|[rs]k_(?:live|test)_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35})"
 MAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,5}"
 URL = r"[a-z][a-z0-9+]{1,15}://[^ \t\r\n\"'<>]{3,}+"
 HOST = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]{2,5})?"
-ANY = "|".join((KEY_ID, ASSIGNED, USER, MAIL, URL, HOST, RUN))
+ANY = "|".join((KEY_ID, PEM, PREFIXED, ASSIGNED, USER, MAIL, URL, HOST, RUN))
 #: user:password before an endpoint's host.
 LOGIN = r"[^ \t\r\n\"'<>/?#@:]*:[^ \t\r\n\"'<>/?#]+"
 #: What is searched for by itself too: a match of ANY may hold it and be of another kind, or weaker.
-INNER = ((KEY_ID, "access strong"), (ASSIGNED, "secret strong"), (f"(?<=://){LOGIN}(?=@)", "secret strong"), (USER, "access weak"))
+INNER = ((KEY_ID, "access strong"), (PEM, "secret strong"), (PREFIXED, "secret strong"), (ASSIGNED, "secret strong"), (f"(?<=://){LOGIN}(?=@)", "secret strong"), (USER, "access weak"))
 #: Without a part of these a document has nothing to report: weak identifiers and endpoints need a secret.
-NEEDED = "|".join((KEY_ID, ASSIGNED, RUN, f"://{LOGIN}@"))
+NEEDED = "|".join((KEY_ID, PEM.partition("(?:")[0], PREFIXED, ASSIGNED, RUN, f"://{LOGIN}@"))
 
 
 def parts(docs: DataFrame) -> DataFrame:
@@ -53,7 +56,7 @@ def parts(docs: DataFrame) -> DataFrame:
     whole = lambda p: F.col("m").rlike(f"^(?:{p})$")
     label = (
         F.when(whole(KEY_ID), "access strong")
-        .when(whole(ASSIGNED), "secret strong")
+        .when(whole(PEM) | whole(PREFIXED) | whole(ASSIGNED), "secret strong")
         .when(whole(USER) | whole(MAIL), "access weak")
         .when(whole(URL) | whole(HOST), "endpoint weak")
         .when(F.col("m").rlike("[0-9]") & F.col("m").rlike("[A-Za-z]"), "secret weak")

@@ -420,6 +420,14 @@ def test_secrets_of_any_length(spark):
     assert masked == ["[SECRET] end", "[SECRET] [SECRET] end", "[SECRET] [SECRET] end", "[SECRET] [SECRET] end", "[SECRET]"]
 
 
+def test_secrets_in_json_and_of_other_providers(spark):
+    pem = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n" + ("MIIE0abc" * 8 + "\n") * 40 + "-----END RSA PRIVATE KEY-----"
+    held = ['"password": "hunter2hunter2"', "'api_key' : 'abc-def_123'", "ghp_" + "a1" * 18, "glpat-" + "a_1-" * 6, "xoxb-123456789-abc", "sk_live_" + "a1" * 12, "AIza" + "a-1_b" * 7, pem, pem[: len(pem) // 2]]
+    parts, masked = _scanned(spark, [f"x {h}" for h in held] + ["a risk-management-and-disk-space-question", '{"user": "bobby", "password": "hunter2hunter2"}'])
+    assert [[(k, s) for k, s, _ in x] for x in parts] == [[("secret", "strong")]] * len(held) + [[], [("access", "weak"), ("secret", "strong")]]
+    assert all("[SECRET]" in m and len(m) < 14 for m in masked[: len(held)])
+
+
 # 10
 
 
