@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def plan_tables(n: int, radius: int = RADIUS, recall: float = RECALL) -> tuple[int, int]:
     """(bits a sample, samples): a pair at the radius itself shares a sample with the given probability."""
     k = min(40, max(8, math.ceil(math.log2(max(n, 2)))))
-    p = (1 - radius / BITS) ** k
+    p = math.comb(BITS - radius, k) / math.comb(BITS, k)  # a sample draws without replacement
     return k, max(1, math.ceil(math.log(1 - recall) / math.log(1 - p)))
 
 

@@ -258,6 +258,18 @@ def test_simhash_recall_and_precision(spark):
     assert simhash_dedup.groups(df.where("false")).count() == 0
 
 
+def test_pairs_at_the_radius_share_a_sample():
+    rng = np.random.default_rng(6)
+    for n in (10_000, 1_000_000, 20_000_000):
+        k, tables = simhash_dedup.plan_tables(n)
+        apart = np.argsort(rng.random((4000, simhash_dedup.BITS)), axis=1)[:, : simhash_dedup.RADIUS]
+        bits = np.zeros((4000, simhash_dedup.BITS), bool)
+        np.put_along_axis(bits, apart, True, axis=1)
+        picks = [np.random.default_rng(1000 + t).choice(simhash_dedup.BITS, k, replace=False) for t in range(tables)]
+        met = np.mean(np.any([~bits[:, p].any(axis=1) for p in picks], axis=0))
+        assert met > 0.88, (n, k, tables, met)
+
+
 def test_pivots_never_discard_a_near_pair():
     r = np.random.default_rng(0)
     f = r.integers(-(2**63), 2**63 - 1, (80, 2), dtype=np.int64)
