@@ -2,28 +2,40 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or (unset, as in tests) one of our own."""
+    """The folder that all executors share: spark.checkpoint.dir; where it is unset and Spark is one process, as in tests, one of our own."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read again: its lineage ends there, and losing an executor loses nothing."""
+def _stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, read again: its lineage ends there, and losing an executor loses nothing."""
+    return _stored(df, name)[0]
+
+
+def _removed(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,10 +47,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
 
     Alternating large-star and small-star contraction: a logarithmic number of rounds of
     joins, no driver-side graph.  Loops, repeated edges and nulls are dropped; a node without
-    an edge has no row.
+    an edge has no row.  Each round's table replaces the one before.
     """
+    spark = edges.sparkSession
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    e = written(e, "edges")
+    e, path = _stored(e, "edges")
     last = None
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -53,7 +66,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
             .where("u <> v")
             .distinct()
         )
-        e = written(small, "edges")
+        old, (e, path) = path, _stored(small, "edges")
+        _removed(spark, old)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last:
             break
@@ -65,6 +79,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     )
 
 
-def small(df: DataFrame, row_bytes: int, limit: int = 32 << 20) -> DataFrame:
-    """df marked for broadcast if its counted rows, of about row_bytes each, stay under the limit; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+def small(df: DataFrame, row_bytes: int | Column, limit: int = 32 << 20) -> DataFrame:
+    """df marked for broadcast if its rows, of row_bytes each (a number, or an expression over the row), stay under the limit; else as it is, for a shuffled join."""
+    size = df.agg(F.coalesce(F.sum(F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= limit else df
