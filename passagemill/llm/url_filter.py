@@ -4,11 +4,14 @@ A rule is a regular expression.  Parsing it yields, for each of its alternatives
 tokens (runs of letters and digits with a boundary on either side) that any matching URL must
 hold.  Every alternative is indexed by that token of its own that the fewest URLs hold, counted
 over all URLs.  A URL's tokens fetch candidate rules, and only those run their expressions;
-a rule with an alternative that holds no certain token is tried on every URL.
-
-Defined results: a null or empty URL matches nothing but rules that match the empty text; rows
-repeated under one page_id give each rule once; rows with a null page_id are kept under null;
-ties in rarity go to the longer, then the first token; extra columns are not read.
+a rule with an alternative that holds no certain token is tried on every URL.  Rules are a table
+(rule_id, pattern, action); they are parsed where they lie, and no part of them is collected.
+
+Defined results: a null URL matches nothing and an empty one only rules that match the empty
+text; rows repeated under one page_id give each rule once, and so do repeated rules; rows with a
+null page_id are kept under null; a rule with a null id or pattern matches nothing, and one that
+is no expression is an error; ties in rarity go to the longer, then the first token; URLs of any
+length are read whole; empty tables give no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from re import _parser
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small
+from .shared import small, written
 
 _TOKEN = r"[^a-z0-9]+"
 
@@ -81,61 +84,72 @@ def url_tokens(url):
     return F.array_distinct(F.filter(F.split(F.lower(url), _TOKEN), lambda t: t != ""))
 
 
-def match(pages: DataFrame, rules: list[tuple[int, str, str]]) -> DataFrame:
-    """(page_id, rule_id, action) for every page and every (rule_id, pattern, action) that matches its URL, case aside."""
-    spark = pages.sparkSession
-    for _, pattern, _ in rules:
-        re.compile(pattern)
-    need = {i: required_tokens(p) for i, p, _ in rules}
+RULE = "rule_id int, pattern string, action string"
+
+
+def rule_index(rules: DataFrame) -> DataFrame:
+    """(rule_id, pattern, action, alternatives): what required_tokens finds for each rule of a table of them."""
+
+    def run(frames):
+        for f in frames:
+            for p in f["pattern"]:
+                re.compile(p)
+            yield f.assign(alternatives=[required_tokens(p) for p in f["pattern"]])
+
+    r = rules.select(F.col("rule_id").cast("int").alias("rule_id"), "pattern", "action").where("rule_id is not null and pattern is not null").distinct()
+    return r.mapInPandas(run, f"{RULE}, alternatives array<array<string>>")
+
+
+def match(pages: DataFrame, rules: DataFrame | list[tuple[int, str, str]]) -> DataFrame:
+    """(page_id, rule_id, action) for every page and every rule that matches its URL, case aside."""
+    if isinstance(rules, list):
+        rules = pages.sparkSession.createDataFrame(rules, RULE)
+    parsed = written(rule_index(rules), "url-rules")
+    size = F.octet_length("pattern") + 64
+    certain = F.forall("alternatives", lambda a: F.size(a) > 0)
     p = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url").where("url is not null")
-    words = sorted({t for alts in need.values() for alt in alts for t in alt})
     tokens = p.select("page_id", "url", F.explode(url_tokens("url")).alias("token"))
-    wanted = spark.createDataFrame([(w,) for w in words], "token string")
-    seen = tokens.select("token").join(small(wanted, 64), "token").groupBy("token").count()
-    count = {r["token"]: r["count"] for r in seen.collect()} if words else {}
-    index, always = [], []
-    for i, pattern, action in rules:
-        if all(need[i]):
-            keys = {min(alt, key=lambda t: (count.get(t, 0), -len(t), t)) for alt in need[i]}
-            index += [(k, i, f"(?i){pattern}", action) for k in sorted(keys)]
-        else:
-            always.append((i, f"(?i){pattern}", action))
-    fetched = tokens.join(small(spark.createDataFrame(index, "token string, rule_id int, pattern string, action string"), 256), "token").drop("token")
-    every = p.crossJoin(F.broadcast(spark.createDataFrame(always, "rule_id int, pattern string, action string")))
-    return fetched.unionByName(every).where(F.expr("url rlike pattern")).select("page_id", "rule_id", "action").distinct()
+    alt = parsed.where(certain).select("rule_id", "pattern", "action", F.posexplode("alternatives").alias("alt", "words"))
+    alt = alt.select("rule_id", "pattern", "action", "alt", F.explode("words").alias("token"))
+    wanted = alt.select("token").distinct()
+    seen = tokens.select("token").join(small(wanted, F.octet_length("token") + 32), "token").groupBy("token").count()
+    rarest = F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), (-F.length("token")).alias("l"), "token"))["token"]
+    index = alt.join(small(written(seen, "url-tokens"), F.octet_length("token") + 40), "token", "left").groupBy("rule_id", "pattern", "action", "alt").agg(rarest.alias("token"))
+    index = written(index.select("token", *(c.split()[0] for c in RULE.split(", "))).distinct(), "url-index")
+    fetched = tokens.join(small(index, size + F.octet_length("token")), "token").drop("token")
+    every = p.crossJoin(small(parsed.where(~certain).drop("alternatives"), size))
+    return fetched.unionByName(every).where(F.expr("url rlike concat('(?i)', pattern)")).select("page_id", "rule_id", "action").distinct()
 
 
 _BLOCKED = (
     "casino poker betting jackpot slots lottery xxx porn adult escort nude webcam viagra pharmacy cialis pills warez torrent crack keygen "
     "serial nulled proxy vpn-free spyware malware phishing loan payday forex crypto-giveaway airdrop replica counterfeit essay-mill "
-    "clickbait doorway linkfarm spamblog autogen scraper adserver doubleclick popunder banner-ads tracker pixel beacon affiliate"
+    "clickbait doorway linkfarm spam spamblog autogen scraper adserver doubleclick popunder banner-ads tracker pixel beacon affiliate"
 ).split()
-_HOSTS = "tionsh tionble ththth ththea ththed ththen ththin ththon ththti ththtion therer therha therin therou therre thersh therst therth tionth tiontion".split()
+_LANGUAGES = "ar bg cs da de el en es et fi fr he hi hu id it ja ko lt lv nl no pl pt ro ru sk sl sv th tr uk vi zh".split()
 
 
 def production_rules() -> list[tuple[int, str, str]]:
-    """(rule_id, pattern, action): blocked words in host or path, hosts, sections, tracking and paging."""
+    """(rule_id, pattern, action): blocked words in host or path, sections by language, tracking and paging."""
     patterns: list[tuple[str, str]] = []
     for w in _BLOCKED:
         patterns.append((rf"[./_-]{w}[./_?#-]", "block"))
         patterns.append((rf"//{w}\.", "block"))
-    for h in _HOSTS:
-        patterns.append((rf"^https?://(?:m|www|blog)\.{h}\.example\.(?:com|net|org)/", "mirror"))
-        patterns.append((rf"//{h}\.example\.net/[a-z]+/[0-9]+\?page=[0-9]+&", "paged"))
-        for lang in ("en", "de", "fr", "es"):
-            patterns.append((rf"\b{h}\.example\.org/{lang}/[0-9]+(?:\.html|/)?$", "section"))
+    for lang in _LANGUAGES:
+        patterns.append((rf"/{lang}/[0-9]+(?:\.html|/)?$", f"section-{lang}"))
+        patterns.append((rf"//{lang}\.[a-z0-9.-]+/", f"host-{lang}"))
     patterns += [
+        (r"^https?://(?:m|mobile|amp|www)\.[a-z0-9.-]+/", "mirror"),
+        (r"//blog\.|/blog/", "blog"),
+        (r"\?page=[0-9]+&", "paged"),
         (r"[?&]utm_source=[a-z]+", "tracking"),
         (r"[?&](?:gclid|fbclid|msclkid)=", "tracking"),
         (r"[?&]ref=x\b", "tracking"),
         (r"#top$", "fragment"),
         (r"\.html#|\.php\?", "dynamic"),
         (r"^http://", "insecure"),
-        (r"//m\.", "mobile"),
-        (r"/([0-9])\1\1+\b", "repeated-digits"),
+        (r"/(?:000|111|222|333|444|555|666|777|888|999)[0-9]*\b", "repeated-digits"),
     ]
-    # Back references are not in every dialect; the last rule is spelled out instead.
-    patterns[-1] = (r"/(?:000|111|222|333|444|555|666|777|888|999)[0-9]*\b", "repeated-digits")
     return [(i, p, a) for i, (p, a) in enumerate(patterns)]
 
 
