@@ -6,11 +6,14 @@ samples of as many bits as the number of fingerprints asks for.  In a block, the
 distances of every fingerprint to many reference fingerprints form the pivot table: by the
 triangle inequality a pair whose coordinates differ anywhere by more than the radius cannot be
 within it, so it is discarded without loss; survivors are verified by their own distance.
-Linked documents form groups by connected components.
+Linked documents form groups by connected components.  A block of more than LARGE fingerprints
+is not compared pair by pair: its components are found by search from fingerprint to
+fingerprint, each compared only with those not yet reached, which gives the same groups.
 
 Defined results: a null or wordless text is compared with nothing; a null doc_id has no
 identity and is left out of groups; rows repeated under one doc_id are one document; an empty
-table gives no rows; columns other than doc_id and text are not read.
+table gives no rows; texts of any length are hashed whole; columns other than doc_id and text
+are not read.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ BITS = 128
 RADIUS = 20
 PIVOTS = 128
 RECALL = 0.9
+LARGE = 4096
 
 
 def fingerprint_slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -133,6 +137,39 @@ def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[k], ids[root[k]]
 
 
+def reached(fp: np.ndarray, radius: int, pivots: int = PIVOTS) -> tuple[np.ndarray, np.ndarray]:
+    """(row, root row) of every row linked to another: the components of one block, without all its pairs.
+
+    Rows stand by their distance to the pivot that tells them apart best, so those that it does
+    not discard are one run.
+    """
+    near = pivot_table(fp, pivots)
+    near = near[:, near.std(axis=0).argmax()]
+    order = np.argsort(near, kind="stable")
+    at, a, b = near[order].astype(np.int16), fp[order, 0].view(np.uint64), fp[order, 1].view(np.uint64)
+    left = np.arange(len(fp))  # places not yet reached, in order
+    la, lb, ln = a, b, at
+    rows, roots = [], []
+    while len(left):
+        root = left[0]
+        queue, skip = [root], 1
+        while queue:
+            v = queue.pop()
+            lo, hi = max(skip, int(np.searchsorted(ln, at[v] - radius))), int(np.searchsorted(ln, at[v] + radius, "right"))
+            if hi > lo:
+                u = lo + np.flatnonzero(np.bitwise_count(la[lo:hi] ^ a[v]) + np.bitwise_count(lb[lo:hi] ^ b[v]) <= radius)
+                if len(u):
+                    rows.append(left[u])
+                    roots.append(np.full(len(u), root))
+                    queue += left[u].tolist()
+                    left, la, lb, ln = (np.delete(x, u) for x in (left, la, lb, ln))
+            if len(left) == skip:
+                break
+        left, la, lb, ln = left[1:], la[1:], lb[1:], ln[1:]
+    z = np.zeros(0, np.int64)
+    return order[np.concatenate(rows or [z])], order[np.concatenate(roots or [z])]
+
+
 def _keys(k: int, tables: int):
     place = 1 << np.arange(k, dtype=np.int64)
     pick = [np.random.default_rng(1000 + t).choice(BITS, k, replace=False) for t in range(tables)]
@@ -152,34 +189,40 @@ def _keys(k: int, tables: int):
     return run
 
 
-def _compare(radius: int):
+def _compare(radius: int, large: int = LARGE):
     def pairs(key, ids, fp):
-        again = np.ones(len(key), bool)
-        again[1:] = key[1:] == key[:-1]
-        keep = again.copy()
-        keep[:-1] |= again[1:]
-        keep[0] = len(key) > 1 and key[0] == key[1]
-        key, ids, fp = key[keep], ids[keep], fp[keep]
-        i, j, _ = block_pairs(key, fp, radius)
-        if not len(i):
+        edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size = np.diff(np.r_[edge, len(key)])
+        block = np.repeat(size, size)
+        some = (block > 1) & (block <= large)
+        i, j, _ = block_pairs(key[some], fp[some], radius)
+        a, b = [ids[some][i]], [ids[some][j]]
+        for lo, n in zip(edge[size > large], size[size > large]):
+            i, j = reached(fp[lo : lo + n], radius)
+            a.append(ids[lo + i])
+            b.append(ids[lo + j])
+        a, b = np.concatenate(a), np.concatenate(b)
+        if not len(a):
             return None
-        node, root = local_roots(ids[i], ids[j])
+        node, root = local_roots(a, b)
         return pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], ["a", "b"])
 
     def run(batches):
-        held: list[np.ndarray] = []
+        held: list[np.ndarray] = []  # rows of one key, the last so far
         for b in batches:
-            key, ids, f0, f1 = (b.column(c).to_numpy(zero_copy_only=False) for c in range(4))
-            held.append(np.stack([key, ids, f0, f1]))
+            if not b.num_rows:
+                continue
+            held.append(np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in range(4)]))
+            if held[0][0, 0] == held[-1][0, -1]:
+                continue
             x = np.concatenate(held, axis=1)
             cut = int(np.searchsorted(x[0], x[0, -1]))
             held = [x[:, cut:]]
-            if cut:
-                if (out := pairs(x[0, :cut], x[1, :cut], x[2:, :cut].T.copy())) is not None:
-                    yield out
+            if (out := pairs(x[0, :cut], x[1, :cut], x[2:, :cut].T.copy())) is not None:
+                yield out
         if held:
-            x = held[0] if len(held) == 1 else np.concatenate(held, axis=1)
-            if x.shape[1] and (out := pairs(x[0], x[1], x[2:].T.copy())) is not None:
+            x = np.concatenate(held, axis=1)
+            if (out := pairs(x[0], x[1], x[2:].T.copy())) is not None:
                 yield out
 
     return run
