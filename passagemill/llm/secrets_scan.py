@@ -11,7 +11,9 @@ Positions are zero-based code points.  Values are given as MD5, never in clear.
 
 Defined results: a null or empty text has no parts; a null doc_id keeps its parts, under null;
 rows that repeat a (doc_id, text) count once; every complementary part in scope is counted, so
-ties need no order; parts may overlap, and are masked as one; extra columns are not read.
+ties need no order; parts may overlap, and are masked as one; texts of any length are searched
+whole; an empty table gives no rows.  Extra columns are not read, and redact() leaves them alone
+whatever their names.
 """
 
 from __future__ import annotations
@@ -100,21 +102,22 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 def redact(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """docs with every reported part replaced by a mask, and n_chars (where there is one) recounted; no document is dropped."""
-    spans = written(report(docs, scope).groupBy(F.col("doc_id").alias("_id"), "text_key").agg(F.sort_array(F.collect_set(F.struct("start_pos", "end_pos"))).alias("_spans")), "secret-spans")
-    spans = small(spans.select("_id", F.col("text_key").alias("_key"), "_spans"), 400)
-    # Only a text that may hold a part needs its key; the others get none and match nothing.
-    key = F.when(F.col("text").rlike(NEEDED), F.md5("text"))
-    x = docs.withColumn("_text_key", key)
-    x = x.join(spans, x["doc_id"].cast("bigint").eqNullSafe(spans["_id"]) & (x["_text_key"] == spans["_key"]), "left")
-    built = F.expr(
-        f"""aggregate(_spans, struct(0 as at, '' as out),
-            (a, s) -> struct(greatest(a.at, s.end_pos) as at, if(s.start_pos < a.at, a.out, concat(a.out, substring(text, a.at + 1, s.start_pos - a.at), '{MASK}')) as out),
-            a -> concat(a.out, substring(text, a.at + 1)))"""
+    spans = report(docs, scope).groupBy(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).agg(F.sort_array(F.collect_set(F.struct("start_pos", "end_pos"))).alias("spans"))
+    spans = written(spans, "secret-spans")
+    # The expressions are not run again: a row is known by its id and its text's MD5.
+    d, s = docs.alias("d"), small(spans, 16 * F.size("spans") + 100).alias("s")
+    x = d.join(s, F.col("d.doc_id").cast("bigint").eqNullSafe(F.col("s.id")) & (F.md5("d.text") == F.col("s.key")), "left")
+    # One column holds the row as it was, so no name of the table's can clash.
+    x = x.select(F.struct(F.struct(*(F.col(f"d.`{c}`") for c in docs.columns)).alias("row"), F.col("s.spans").alias("spans")).alias("x"))
+    masked = F.expr(
+        f"""aggregate(x.spans, struct(0 as at, '' as out),
+            (a, s) -> struct(greatest(a.at, s.end_pos) as at, if(s.start_pos < a.at, a.out, concat(a.out, substring(x.row.text, a.at + 1, s.start_pos - a.at), '{MASK}')) as out),
+            a -> concat(a.out, substring(x.row.text, a.at + 1)))"""
     )
-    x = x.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(built))
-    if "n_chars" in docs.columns:
-        x = x.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
-    return x.select(*docs.columns)
+    x = x.select("x", F.when(F.col("x.spans").isNotNull(), masked).alias("masked"))
+    types = dict(docs.dtypes)
+    new = {"text": F.coalesce("masked", "x.row.text"), "n_chars": F.when(F.col("masked").isNull(), F.col("x.row.n_chars") if "n_chars" in types else F.lit(None)).otherwise(F.length("masked").cast(types.get("n_chars", "int")))}
+    return x.select(*((new[c] if c in new else F.col(f"x.row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def _sql(pattern: str) -> str:
