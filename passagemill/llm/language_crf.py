@@ -11,7 +11,8 @@ doc_id (a parameter).  All counts below are over whole texts of all rows.
 Defined results: a document without a word of letters, a null text included, is rejected with
 a null language; so is one whose words are labelled with a mean certainty under min_certainty.
 Rows with equal doc_ids, or with a null one, are labelled each for itself.  With no labelled
-row there are no languages and every document is rejected.  Extra columns are not read.
+row there are no languages and every document is rejected.  Texts of any length are labelled
+whole; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -242,8 +244,13 @@ OUT = "doc_id bigint, pred_lang string, share double, certainty double, n_words
 
 
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 42) -> Model:
+    """The model of the sample.  Its last hash is found among ids alone; then only its texts are fetched."""
     known = docs.where("lang is not null and text is not null and doc_id is not null")
-    rows = known.select("lang", "text", F.xxhash64(F.lit(seed), F.col("doc_id").cast("bigint")).alias("h")).orderBy("h", "lang", "text").limit(sample_rows)
+    h = F.xxhash64(F.lit(seed), F.col("doc_id").cast("bigint"))
+    last = known.select(h.alias("h")).orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
+    if last is None:
+        return train([])
+    rows = known.where(h <= last).select("lang", "text", h.alias("h")).orderBy("h", "lang", "text").limit(sample_rows)
     return train([(r["lang"], r["text"]) for r in rows.collect()])
 
 
@@ -262,14 +269,21 @@ def identify(docs: DataFrame, model: Model | None = None, min_certainty: float =
 
 
 def keep_identified(docs: DataFrame, model: Model | None = None, min_certainty: float = MIN_CERTAINTY) -> DataFrame:
-    """docs without the documents that identify() rejects; its verdict is made as the rows stream by, without a join."""
+    """docs without the documents that identify() rejects; those kept without a lang get the one identified.
+
+    The verdict is made as the rows stream by, without a join.
+    """
     model = model or fit(docs)
-    at = docs.columns.index("text")
+    at, lang = docs.columns.index("text"), docs.columns.index("lang") if "lang" in docs.columns else None
 
     def run(batches):
         for b in batches:
-            ok = [~cols[5] for _, cols in label_rows(model, tn.column(b, b.schema.names[at], lower=True), min_certainty)]
-            if ok:
-                yield b.filter(pa.array(np.concatenate(ok)))
+            made = [cols for _, cols in label_rows(model, tn.column(b, b.schema.names[at], lower=True), min_certainty)]
+            if made:
+                ok = pa.array(np.concatenate([~c[5] for c in made]))
+                if lang is not None:
+                    pred = pa.array(np.concatenate([c[0] for c in made]), b.column(lang).type)
+                    b = b.set_column(lang, b.schema.field(lang), pc.coalesce(b.column(lang), pred))
+                yield b.filter(ok)
 
     return docs.mapInArrow(run, docs.schema)
