@@ -31,9 +31,9 @@ def _session() -> SparkSession:
 
 def ask(spark: SparkSession, path: str, question: str, retrieve_only: bool = False) -> dict | list:
     """The result of one question, which is a DataFrame of one row to the plan."""
-    chunks = store.open_table(spark, path).withColumn("chunk_index", F.split_part("id", F.lit("-"), F.lit(-1)).cast("int"))
+    chunks = store.with_places(store.open_table(spark, path))
     q = spark.createDataFrame([(1, question)], "qid int, question string")
-    detail = R.retrieve(q, chunks, vectors=chunks.select("id", "vector"))
+    detail = R.retrieve(q, chunks, vectors=chunks.select("id", "vector"), index=store.open_index(spark, path))
     if retrieve_only:
         return [r.asDict() for r in detail.kept.orderBy("kept_rank").select("id", "chapter", "order", "score", "text").collect()]
     return json.loads(R.answers(q, detail.kept).select(F.to_json(F.struct("found", "answer", "sources", "message"))).first()[0])

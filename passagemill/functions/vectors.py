@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _sum(a: Column) -> Column:
@@ -39,8 +44,33 @@ def unit(a: Column) -> Column:
     return let(norm(a), lambda n: F.transform(a, lambda x: x.cast("double") / n))
 
 
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def _hashed(tokens: pa.Array, dims: pa.Array) -> pa.Array:
+    n = dims[0].as_py() if len(dims) else 1
+    words = tokens.flatten().dictionary_encode()
+    place = np.array([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % n for w in words.dictionary.to_pylist()], np.int64)
+    size = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(tokens)), size)
+    at = row * n + place[words.indices.to_numpy(zero_copy_only=False)] if len(row) else np.zeros(0, np.int64)
+    counts = np.bincount(at, minlength=len(tokens) * n).reshape(len(tokens), n).astype(np.float64)
+    counts /= np.maximum(np.sqrt((counts * counts).sum(axis=1, keepdims=True)), 1e-300)
+    off = pa.array(np.arange(len(tokens) + 1, dtype=np.int32) * n, mask=np.r_[np.asarray(tokens.is_null()), False] if tokens.null_count else None)
+    return pa.ListArray.from_arrays(off, pa.array(counts.ravel()))
+
+
 def hashed_words(tokens: Column, dims: int = 64) -> Column:
-    """A bag of words by feature hashing, of unit length (zero if there are no tokens): the offline stand-in for a neural embedding."""
-    places = F.transform(tokens, lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint") % dims).cast("int"))
-    counts = let(places, lambda p: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda b: F.size(F.filter(p, lambda x: x == b)).cast("double")))
-    return let(counts, lambda c: let(F.greatest(norm(c), F.lit(1e-300)), lambda n: F.transform(c, lambda x: x / n)))
+    """A bag of words by feature hashing, of unit length (zero if there are no tokens, null for null): the offline stand-in for a neural embedding."""
+    return _hashed(tokens, F.lit(dims))
+
+
+def first_k(value: np.ndarray, k: int, usable: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k least usable values of each row, ties by column; rows and then values in order."""
+    v = np.where(usable, value, np.inf)
+    if v.shape[1] > k:
+        usable = usable & (v <= np.partition(v, k - 1, axis=1)[:, k - 1 : k])
+    row, col = np.nonzero(usable)
+    by = np.lexsort((col, v[row, col], row))
+    row, col = row[by], col[by]
+    first = np.searchsorted(row, np.arange(len(v)))
+    keep = np.arange(len(row)) - first[row] < k
+    return row[keep], col[keep]

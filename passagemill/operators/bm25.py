@@ -1,18 +1,44 @@
-"""Full-text search: postings and BM25.
+"""Full-text search: stored postings and BM25.
 
-Postings are one aggregation over exploded tokens; document frequencies join back on the term,
-restricted to the terms that questions ask for before anything is scored.
+An index is a table of postings, sharded by passage and sorted by term, a table of terms with
+their document frequencies, and two numbers.  A search reads only the asked terms' postings.
+Shard by shard their weights are added up in a small matrix of questions by passages, which
+gives its own best few of each question; a window merges those of the shards.  No pair of a
+question and a passage becomes a row, but for scoped searches, whose pairs are given.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from passagemill.functions.text import tokens
+from passagemill.functions.vectors import first_k
+from passagemill.tables import small, written
 
 K1, B = 1.2, 0.75
+SHARD_ROWS = 4096
+#: Pairs of a question and a term that are broadcast at once; more questions go in blocks.
+ASKED = 1 << 20
+#: Terms up to which the scan itself filters.
+LISTED = 10_000
+_CELLS = 1 << 22
+
+
+@dataclass(frozen=True)
+class Index:
+    """postings (shard, key, term, tf, dl), terms (term, df), and the passages' number and mean length in tokens."""
+
+    postings: DataFrame
+    terms: DataFrame
+    n_docs: int
+    avg_len: float
 
 
 def postings(chunks: DataFrame, key: str = "id") -> DataFrame:
@@ -22,33 +48,125 @@ def postings(chunks: DataFrame, key: str = "id") -> DataFrame:
     return words.groupBy(key, "term").agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"))
 
 
+def sharded(p: DataFrame, n: int, key: str = "id") -> DataFrame:
+    """Postings with their shard, of about SHARD_ROWS of n passages each."""
+    shards = max(1, -(-n // SHARD_ROWS))
+    return p.select(F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard"), key, "term", "tf", "dl")
+
+
+def term_counts(p: DataFrame) -> DataFrame:
+    return p.groupBy("term").agg(F.count("*").alias("df"))
+
+
+def numbers(p: DataFrame, key: str = "id") -> tuple[int, float]:
+    """How many passages have a token, and how many tokens they have on average."""
+    total, n = p.agg(F.coalesce(F.sum("tf"), F.lit(0)), F.count_distinct(key)).first()
+    return n, total / max(n, 1)
+
+
+def index(chunks: DataFrame, key: str = "id") -> Index:
+    """An index in the shared folder, for chunks that have no stored one."""
+    p = written(postings(chunks, key), "postings")
+    n, mean = numbers(p, key)
+    return Index(sharded(p, n, key), written(term_counts(p), "terms"), n, mean)
+
+
 def query_terms(questions: DataFrame, qid: str = "qid", text: str = "question") -> DataFrame:
     return questions.select(qid, F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
 
 
-def score(chunks: DataFrame, questions: DataFrame, key: str = "id", scope: DataFrame | None = None) -> DataFrame:
-    """(qid, key, score) of every passage that shares a term with a question.
-
-    scope: (qid, key) pairs to keep; frequencies and lengths stay those of all passages.
-    """
-    asked = query_terms(questions)
-    size = chunks.select(F.size(tokens(F.col("text"))).alias("n"))
-    stats = size.where("n > 0").agg(F.count("*").alias("n_docs"), F.avg("n").alias("avg_len"))
-    # Only asked terms are exploded, so the shuffle holds hits, not the corpus's words.
-    vocabulary = asked.select("term").distinct()
-    words = chunks.select(key, tokens(F.col("text")).alias("w")).select(key, F.size("w").alias("dl"), F.explode("w").alias("term"))
-    hits = words.join(vocabulary, "term", "left_semi").groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    x = asked.join(df, "term").join(hits, "term")
-    if scope is not None:
-        x = x.join(scope, ["qid", key], "left_semi")
-    x = x.crossJoin(F.broadcast(stats))  # one row
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_len")))
+def score(source: Index | DataFrame, questions: DataFrame, scope: DataFrame, key: str = "id") -> DataFrame:
+    """(qid, key, score) of those pairs of scope (qid, key) that share a term; frequencies and lengths are those of all passages."""
+    ix = source if isinstance(source, Index) else index(source, key)
+    pairs = query_terms(questions).join(scope.select("qid", key), "qid").distinct()
+    x = pairs.join(ix.postings.drop("shard"), [key, "term"]).join(ix.terms, "term")
+    idf = F.log(1 + (ix.n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / max(ix.avg_len, 1e-9)))
     return x.groupBy("qid", key).agg(F.round(F.sum(weight), 6).alias("score"))
 
 
-def search(chunks: DataFrame, questions: DataFrame, k: int, key: str = "id", scope: DataFrame | None = None) -> DataFrame:
-    """(qid, key, score, rank) of the k best passages of each question; ties go by key."""
+def _kernel(sent, k: int, qid: str, key: str, avg_len: float):
+    def best(parts, asked):
+        docs = pa.concat_arrays([p[0] for p in parts]).dictionary_encode()
+        names = docs.dictionary.to_numpy(zero_copy_only=False)
+        order = np.argsort(names)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        doc = place[docs.indices.to_numpy(zero_copy_only=False)]
+        term, tf, dl = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
+        w = asked["idf"][term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avg_len))
+        by = np.argsort(term, kind="stable")
+        doc, term, w = doc[by], term[by], w[by]
+        edge = np.flatnonzero(np.r_[True, term[1:] != term[:-1], True])
+        step = max(1, _CELLS // len(order))
+        for lo in range(0, asked["n"], step):
+            hi = min(asked["n"], lo + step)
+            s = np.zeros((hi - lo, len(order)))
+            for a, b in zip(edge[:-1], edge[1:]):
+                q = asked["questions"][asked["start"][term[a]] : asked["start"][term[a] + 1]]
+                q = q[np.searchsorted(q, lo) : np.searchsorted(q, hi)] - lo
+                if len(q):
+                    s[q[:, None], doc[a:b]] += w[a:b]
+            q, j = first_k(-np.round(s, 6), k, s > 0)
+            if len(q):
+                yield pa.RecordBatch.from_arrays([asked["qids"].take(pa.array(q + lo)), docs.dictionary.take(pa.array(order[j])), pa.array(np.round(s[q, j], 6))], [qid, key, "score"])
+
+    def run(batches):
+        asked = sent.value
+        held, shard = [], None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            at = b.column(0).to_numpy(zero_copy_only=False)
+            term, tf, dl = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4))
+            edge = np.flatnonzero(np.r_[True, at[1:] != at[:-1], True])
+            for lo, hi in zip(edge[:-1], edge[1:]):
+                if held and at[lo] != shard:
+                    yield from best(held, asked)
+                    held = []
+                shard = at[lo]
+                held.append((b.column(1).slice(lo, hi - lo), term[lo:hi], tf[lo:hi].astype(float), dl[lo:hi].astype(float)))
+        if held:
+            yield from best(held, asked)
+
+    return run
+
+
+def _block(ix: Index, asked: DataFrame, k: int, qid: str, key: str) -> DataFrame:
+    """The best k of every shard for the questions of one block of (qid, term)."""
+    spark = asked.sparkSession
+    rows = asked.where(F.col(qid).isNotNull()).toArrow()
+    qids = rows.column(0).combine_chunks().dictionary_encode() if rows.num_rows else pa.array([], rows.schema.field(0).type).dictionary_encode()
+    words = sorted(set(rows.column(1).to_pylist()))
+    wanted = spark.createDataFrame([(w, i) for i, w in enumerate(words)], "term string, number int")
+    known = {r["number"]: r["df"] for r in ix.terms.join(small(wanted, F.octet_length("term") + 32), "term").collect()}
+    number = {w: i for i, w in enumerate(words)}
+    term = np.array([number[w] for w in rows.column(1).to_pylist()], np.int64)
+    q = qids.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    by = np.lexsort((q, term))
+    df = np.array([known.get(i, 0) for i in range(len(words))], float)
+    sent = spark.sparkContext.broadcast(
+        {
+            "n": len(qids.dictionary), "qids": qids.dictionary, "questions": q[by], "start": np.searchsorted(term[by], np.arange(len(words) + 1)),
+            "idf": np.log(1 + (ix.n_docs - df + 0.5) / (df + 0.5)),
+        }
+    )
+    p = ix.postings.where(F.col("term").isin(words)) if len(words) <= LISTED else ix.postings
+    p = p.join(small(wanted, F.octet_length("term") + 32), "term").select("shard", key, "number", "tf", "dl")
+    out = T.StructType([T.StructField(qid, asked.schema[qid].dataType), T.StructField(key, ix.postings.schema[key].dataType), T.StructField("score", T.DoubleType())])
+    return p.repartition("shard").sortWithinPartitions("shard").mapInArrow(_kernel(sent, k, qid, key, max(ix.avg_len, 1e-9)), out)
+
+
+def search(source: Index | DataFrame, questions: DataFrame, k: int, key: str = "id", scope: DataFrame | None = None, block: int = ASKED) -> DataFrame:
+    """(qid, key, score, rank) of the k best passages of each question, of scope's (qid, key) pairs if given; ties go by key."""
     best = W.Window.partitionBy("qid").orderBy(F.desc("score"), key)
-    return score(chunks, questions, key, scope).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    ix = source if isinstance(source, Index) else index(source, key)
+    if scope is not None:
+        return score(ix, questions, scope, key).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    asked = query_terms(questions).distinct()
+    blocks = max(1, -(-asked.count() // block))
+    found = None
+    for b in range(blocks):
+        part = _block(ix, asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b) if blocks > 1 else asked, k, "qid", key)
+        found = part if found is None else found.unionByName(part)
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

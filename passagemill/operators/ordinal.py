@@ -6,22 +6,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from passagemill.tables import written
+
 
 def with_ordinal(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """df with name: 0, 1, 2, ... in the given order, which should have no ties.
 
-    The order columns are split into ranges of about equal size by their quantile boundaries;
-    numbers run within a range, and the ranges' counts carry them on.
+    df is made once and kept as a table; its order columns alone are read again, to split it
+    into ranges of about equal size and to count those.  Numbers run within a range, and the
+    ranges' counts carry them on.
     """
-    parts = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ranged = df.select(*order).repartitionByRange(int(parts), *order).withColumn("_r", F.spark_partition_id())
-    edges = ranged.groupBy("_r").agg(F.min(F.struct(*order)).alias("lo")).orderBy("lo").collect()
+    df = written(df, "unnumbered")
+    spark = df.sparkSession
+    ranged = df.select(*order).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_r", F.spark_partition_id())
+    edges = ranged.groupBy("_r").agg(F.min(F.struct(*order)).alias("lo"), F.count("*").alias("n")).orderBy("lo").collect()
+    inner = W.Window.orderBy(*order)
     if len(edges) < 2:
-        return df.withColumn(name, F.row_number().over(W.Window.partitionBy(F.lit(0)).orderBy(*order)) - 1)
-    bounds = df.sparkSession.createDataFrame([(e["lo"],) for e in edges], f"lo {ranged.select(F.struct(*order).alias('x')).schema['x'].dataType.simpleString()}").withColumn("k", F.lit(1))
-    listed = bounds.groupBy("k").agg(F.sort_array(F.collect_list("lo")).alias("los"))
-    x = df.crossJoin(F.broadcast(listed.select("los"))).withColumn("_r", F.size(F.filter("los", lambda b: b <= F.struct(*order)))).drop("los")
-    counts = x.groupBy("_r").agg(F.count("*").alias("_c"))
-    base = counts.select("_r", F.coalesce(F.sum("_c").over(W.Window.partitionBy(F.lit(0)).orderBy("_r").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    inner = W.Window.partitionBy("_r").orderBy(*order)
-    return x.withColumn("_i", F.row_number().over(inner)).join(F.broadcast(base), "_r").withColumn(name, F.col("_b") + F.col("_i") - 1).drop("_r", "_i", "_b")
+        return df.withColumn(name, F.row_number().over(inner.partitionBy(F.lit(0))) - 1)
+    kind = ranged.select(F.struct(*order).alias("x")).schema["x"].dataType.simpleString()
+    rows, before = [], 0
+    for i, e in enumerate(edges):
+        rows.append((i + 1, e["lo"], before))
+        before += e["n"]
+    bounds = spark.createDataFrame(rows, f"_r int, lo {kind}, _b bigint")
+    listed = bounds.groupBy().agg(F.sort_array(F.collect_list("lo")).alias("los"))  # one row, of as many edges as partitions
+    x = df.crossJoin(F.broadcast(listed)).withColumn("_r", F.size(F.filter("los", lambda b: b <= F.struct(*order)))).drop("los")
+    x = x.withColumn("_i", F.row_number().over(inner.partitionBy("_r"))).join(F.broadcast(bounds.select("_r", "_b")), "_r")
+    return x.withColumn(name, F.col("_b") + F.col("_i") - 1).drop("_r", "_i", "_b")

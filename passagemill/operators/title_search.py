@@ -15,6 +15,7 @@ from pyspark.sql import window as W
 from passagemill.functions import titles as T
 from passagemill.operators import bm25
 from passagemill.options import TUNING, Tuning
+from passagemill.tables import written
 
 _WORD = "([A-Za-z0-9_]+)"
 
@@ -76,12 +77,12 @@ def scoped_chapters(questions: DataFrame, chapters: DataFrame, tuning: Tuning =
     return named.select("qid", "chapter").unionByName(longest(near, tuning.near_titles).select("qid", "chapter"))
 
 
-def title_search(questions: DataFrame, chunks: DataFrame, k: int = TUNING.title_k, tuning: Tuning = TUNING) -> DataFrame:
+def title_search(questions: DataFrame, chunks: DataFrame, k: int = TUNING.title_k, tuning: Tuning = TUNING, index: bm25.Index | None = None) -> DataFrame:
     """(qid, id, rank): passages of the named chapters by BM25, then those that hold a symbol, then any, first place first."""
     # Three branches read it; matching titles is dearer than keeping (qid, chapter) pairs.
-    scope = scoped_chapters(questions, chapter_list(chunks), tuning).persist()
+    scope = written(scoped_chapters(questions, chapter_list(chunks), tuning), "scope")
     inside = scope.join(chunks, "chapter").select("qid", "id", "order", "chunk_index", "text")
-    fts = bm25.search(chunks, questions, k, scope=inside.select("qid", "id")).select("qid", "id", F.lit(1).alias("source"), F.col("rank").alias("place"))
+    fts = bm25.search(index or bm25.index(chunks), questions, k, scope=inside.select("qid", "id")).select("qid", "id", F.lit(1).alias("source"), F.col("rank").alias("place"))
     reading = W.Window.partitionBy("qid").orderBy("order", "chunk_index", "id")
     symbols = questions.select("qid", F.explode(F.array_distinct(T.symbol_tokens(F.col("question")))).alias("symbol"))
     # An underscore stands for any one character here.

@@ -1,4 +1,4 @@
-"""The passage table on disk: written whole, read with its schema, projected and counted."""
+"""The passage table and its full-text index on disk: written whole, read with their schemas, projected and counted."""
 
 from __future__ import annotations
 
@@ -6,21 +6,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagemill.operators import bm25
-from passagemill.schema import CHUNK
+from passagemill.schema import CHUNK, NUMBERS, POSTING, TERM
 
 
 def recreate(chunks: DataFrame, path: str) -> None:
-    """Replace the table, and its postings, which are bucketed by term in files sorted by it."""
+    """Replace the table and its index: postings by shard of passages in files sorted by term, the terms, and last the numbers."""
     rows = chunks.select(*(F.col(f.name).cast(f.dataType) for f in CHUNK.fields))
     rows.write.mode("overwrite").parquet(f"{path}/chunks")
-    stored = open_table(chunks.sparkSession, path)
-    bm25.postings(stored).repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
+    spark = chunks.sparkSession
+    stored = open_table(spark, path)
+    n = stored.count()
+    p = bm25.sharded(bm25.postings(stored.select("id", "text")), n)
+    # A file holds a range of terms, so a search for few of them skips the others' files and row groups.
+    p.repartitionByRange("term", "shard").sortWithinPartitions("term", "shard").write.mode("overwrite").parquet(f"{path}/postings")
+    p = spark.read.schema(POSTING).parquet(f"{path}/postings")
+    bm25.term_counts(p).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+    spark.createDataFrame([bm25.numbers(p)], NUMBERS).coalesce(1).write.mode("overwrite").parquet(f"{path}/numbers")
 
 
 def open_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CHUNK).parquet(f"{path}/chunks")
 
 
+def open_index(spark: SparkSession, path: str) -> bm25.Index:
+    n, mean = spark.read.schema(NUMBERS).parquet(f"{path}/numbers").first()
+    return bm25.Index(spark.read.schema(POSTING).parquet(f"{path}/postings"), spark.read.schema(TERM).parquet(f"{path}/terms"), n, mean)
+
+
+def with_places(chunks: DataFrame) -> DataFrame:
+    """The table's rows with chunk_index, which their ids end with."""
+    return chunks.withColumn("chunk_index", F.split_part("id", F.lit("-"), F.lit(-1)).cast("int"))
+
+
 def info(spark: SparkSession, path: str) -> dict[str, object]:
     return {"path": path, "rows": open_table(spark, path).count()}
 
