@@ -7,11 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagemill.functions.answers import NOT_FOUND, build_context, is_refusal
+from passagemill.functions.answers import NOT_FOUND, build_context, cites, is_refusal, verdict
 from passagemill.operators import bm25, knn, ranking
 from passagemill.operators.title_search import chapter_list, matched_titles, title_search
 from passagemill.options import TUNING, Tuning
 from passagemill.sources.providers import Providers
+from passagemill.tables import written
 
 
 @dataclass(frozen=True)
@@ -41,17 +42,19 @@ def expanded(questions: DataFrame, titles: DataFrame, providers: Providers) -> D
     return both.select("qid", "question", F.concat_ws(" ", "question", F.nullif("expansion", F.lit(""))).alias("query"))
 
 
-def gather(texts: DataFrame, chunks: DataFrame, providers: Providers, tuning: Tuning = TUNING, vectors: DataFrame | None = None) -> DataFrame:
+def gather(texts: DataFrame, chunks: DataFrame, providers: Providers, tuning: Tuning = TUNING, vectors: DataFrame | None = None, index: bm25.Index | None = None) -> DataFrame:
     """(qid, id, pos): the union of vector, full-text and title candidates.
 
-    texts (qid, question, query); vectors (id, vector) if the passages are embedded already.
+    texts (qid, question, query); vectors (id, vector) if the passages are embedded already;
+    index: the passages' full-text index, made here if there is none stored.
     """
+    index = index or bm25.index(chunks)
     asked = texts.select("qid", F.col("query").alias("question"))
     rows = vectors if vectors is not None else providers.embed_documents(chunks.select("id", "text")).select("id", "vector")
     q = providers.embed_query(texts.select("qid", F.col("query").alias("text"))).select("qid", "vector")
     near = knn.nearest(q, rows, tuning.vector_k)
-    words = bm25.search(chunks, asked, tuning.text_k)
-    named = title_search(asked, chunks, tuning.title_k, tuning)
+    words = bm25.search(index, asked, tuning.text_k)
+    named = title_search(asked, chunks, tuning.title_k, tuning, index)
     return ranking.merge(near, words, named)
 
 
@@ -60,19 +63,24 @@ def two_stage(pool: DataFrame, providers: Providers, tuning: Tuning = TUNING) ->
     return providers.rerank(ranking.prefilter(providers.prefilter(pool), keep=tuning.prefilter_keep).drop("cheap", "cheap_rank"))
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, providers: Providers | None = None, tuning: Tuning = TUNING, vectors: DataFrame | None = None) -> Detail:
+def retrieve(questions: DataFrame, chunks: DataFrame, providers: Providers | None = None, tuning: Tuning = TUNING, vectors: DataFrame | None = None, index: bm25.Index | None = None) -> Detail:
     """questions (qid, question), chunks (id, chapter, order, chunk_index, text)."""
     providers = providers or Providers()
-    # What several branches read is kept in memory or on disk once it is made.
-    questions = clean_questions(questions).persist()
-    titles = matched_titles(questions, chapter_list(chunks)).persist()
-    texts = expanded(questions, titles, providers)
-    candidates = gather(texts, chunks, providers, tuning, vectors).join(chunks.select("id", "chapter", "order", "text"), "id").persist()
-    scored = ranking.ranked(two_stage(candidates.join(texts.select("qid", "query"), "qid"), providers, tuning).drop("query")).persist()
+    # What several branches read is made once, as a table: the models are asked once for each row.
+    questions = clean_questions(questions)
+    titles = written(matched_titles(questions, chapter_list(chunks)), "titles")
+    texts = written(expanded(questions, titles, providers), "texts")
+    found = gather(texts, chunks, providers, tuning, vectors, index)
+    candidates = written(found.join(chunks.select("id", "chapter", "order", "text"), "id"), "candidates")
+    scored = written(ranked_pool(candidates.join(texts.select("qid", "query"), "qid"), providers, tuning), "scored")
     kept = ranking.rank_and_pin(scored.drop("rank"), titles, questions, tuning)
     return Detail(titles, texts, candidates, scored, kept)
 
 
+def ranked_pool(pool: DataFrame, providers: Providers, tuning: Tuning = TUNING) -> DataFrame:
+    return ranking.ranked(two_stage(pool, providers, tuning).drop("query"))
+
+
 def vector_only(questions: DataFrame, chunks: DataFrame, providers: Providers | None = None, tuning: Tuning = TUNING) -> DataFrame:
     """The baseline: vector candidates, the dear score on the raw question, threshold, best few."""
     providers = providers or Providers()
@@ -95,3 +103,13 @@ def answers(questions: DataFrame, kept: DataFrame, providers: Providers | None =
     out = clean_questions(questions).select("qid").join(said.select("qid", "answer", "refused", sources.alias("sources")), "qid", "left")
     found = F.coalesce(~F.col("refused"), F.lit(False))
     return out.select("qid", found.alias("found"), F.when(found, F.col("answer")).alias("answer"), F.when(found, F.col("sources")).alias("sources"), F.when(~found, F.lit(not_found)).alias("message"))
+
+
+def judged(questions: DataFrame, kept: DataFrame, providers: Providers | None = None, not_found: str = NOT_FOUND) -> DataFrame:
+    """(qid, refused, grounded, answers, problem, cited) for every question; the judge sees those that have an answer, and no verdict of its is all null."""
+    providers = providers or Providers()
+    rows = kept.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("kept_rank", "chapter", "order", "score", "text"))).alias("kept"))
+    asked = clean_questions(questions).join(rows, "qid").withColumn("context", build_context(F.col("kept")))
+    said = providers.answer(asked).where(~is_refusal(F.col("answer"), not_found))
+    said = providers.judge(said).select("qid", verdict(F.col("reply")).alias("v"), cites(F.col("answer"), F.col("kept")).alias("cited"))
+    return clean_questions(questions).select("qid").join(said, "qid", "left").select("qid", F.col("cited").isNull().alias("refused"), "v.grounded", "v.answers", "v.problem", "cited")

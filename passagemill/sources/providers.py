@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import urllib.request
+import warnings
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -60,6 +61,13 @@ def extract_answer(asked: DataFrame) -> DataFrame:
     return asked.withColumn("answer", F.concat(F.substring(best["text"], 1, 300), F.lit(" ["), best["chapter"], F.lit("]")))
 
 
+def lexical_judge(answered: DataFrame) -> DataFrame:
+    """answered (question, context, answer) with reply, a judge's JSON: grounded if the context has the answer's first 40 characters, answering if the answer has half of the question's distinct tokens."""
+    grounded = F.contains("context", F.substring("answer", 1, 40))
+    answers = F.round(_share(tokens(F.col("question")), tokens(F.col("answer"))), 6) >= 0.5
+    return answered.withColumn("reply", F.to_json(F.struct(grounded.alias("grounded"), answers.alias("answers"), F.lit("").alias("problem"))))
+
+
 @dataclass(frozen=True)
 class Providers:
     embed_query: Callable[[DataFrame], DataFrame] = embed_words
@@ -68,6 +76,16 @@ class Providers:
     prefilter: Callable[[DataFrame], DataFrame] = cheap_overlap
     rerank: Callable[[DataFrame], DataFrame] = lexical_logit
     answer: Callable[[DataFrame], DataFrame] = extract_answer
+    judge: Callable[[DataFrame], DataFrame] = lexical_judge
+
+
+_warned: set[str] = set()
+
+
+def _warn_once(message: str, kind: str = "expansion") -> None:
+    if kind not in _warned:
+        _warned.add(kind)
+        warnings.warn(message, stacklevel=2)
 
 
 def _post(url: str, body: dict, timeout: float) -> dict:
@@ -99,14 +117,15 @@ def http_embedder(url: str, prefix: str = "", batch: int = 32, timeout: float =
 
 
 def http_expander(url: str, model: str, prompt: str, timeout: float = 15) -> Callable[[DataFrame], DataFrame]:
-    """A chat service that lists search terms; whatever goes wrong, the expansion is empty."""
+    """A chat service that lists search terms; whatever goes wrong, the expansion is empty, with one warning a process."""
 
     def run(questions: pd.Series) -> pd.Series:
         def one(q: str) -> str:
             body = {"model": model, "temperature": 0, "max_tokens": 100, "stream": False, "messages": [{"role": "system", "content": prompt}, {"role": "user", "content": q}]}
             try:
                 return _post(f"{url}/chat/completions", body, timeout)["choices"][0]["message"]["content"] or ""
-            except Exception:
+            except Exception as e:
+                _warn_once(f"no expansion: {e}")
                 return ""
 
         return questions.map(one)
@@ -154,3 +173,26 @@ def http_answerer(url: str, model: str, prompt: str, timeout: float = 120) -> Ca
         return df.withColumn("answer", F.pandas_udf(run, "string")("question", "context"))
 
     return add
+
+
+def http_judge(url: str, model: str, prompt: str, timeout: float = 120) -> Callable[[DataFrame], DataFrame]:
+    """A chat service that judges answers; a reply that is no verdict counts as an error of the judge's, and so does a call that fails."""
+
+    def run(questions: pd.Series, contexts: pd.Series, answers: pd.Series) -> pd.Series:
+        def one(q: str, c: str, a: str) -> str:
+            said = f"Passages:\n{c}\n\nQuestion: {q}\n\nAnswer: {a}"
+            body = {"model": model, "temperature": 0, "stream": False, "messages": [{"role": "system", "content": prompt}, {"role": "user", "content": said}]}
+            try:
+                return _post(f"{url}/chat/completions", body, timeout)["choices"][0]["message"]["content"] or ""
+            except Exception as e:
+                _warn_once(f"no verdict: {e}", "judge")
+                return ""
+
+        return pd.Series([one(q, c, a) for q, c, a in zip(questions, contexts, answers)])
+
+    run.__annotations__ = {"questions": pd.Series, "contexts": pd.Series, "answers": pd.Series, "return": pd.Series}
+
+    def add(df: DataFrame) -> DataFrame:
+        return df.withColumn("reply", F.pandas_udf(run, "string")("question", "context", "answer"))
+
+    return add
