@@ -8,12 +8,18 @@ passage of WORDS words can reach is cut out; shard by shard of anchors, passages
 word for word, compiled into an Aho-Corasick automaton, and every document's cut-outs are
 streamed through it.  What it finds, in all documents, joins up to spans.
 
+A short passage in very many documents gives its anchors as many different cut-outs.  Those of an
+anchor with more than HOT of them are not brought together: the runs of WORDS words around it are
+rows, by two hashes of 64 bits each, pre-aggregated to the least and greatest doc_id that
+holds them, and those of two documents are the spans.  The result is the same.
+
 The result has every span of every document that recurring passages cover.
 
 Defined results: null and empty texts and those under WORDS words hold no passage; a null
 doc_id has no identity and is left out; rows repeated under one doc_id do not make a passage
 recur, and their spans are merged if their texts are equal; a repetition within one document
-alone is not one; an empty table gives no rows; extra columns are not read.
+alone is not one; texts of any length are read whole; an empty table gives no rows; extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -29,10 +35,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from . import textnum as tn
-from .shared import written
+from .shared import small, written
 
 WORDS = 50
 SHARD_CONTEXTS = 4000
+HOT = 2000
 _PLACE = 26  # bits of a word's place in the packed key of an anchor
 
 
@@ -58,13 +65,51 @@ def anchors_of(buf: np.ndarray, off: np.ndarray, words: int = WORDS) -> tuple[np
     return row[pos], pos - first[row[pos]], run[pos].view(np.int64)
 
 
-def _anchors(batches):
-    for b in batches:
-        ids, text_key = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        for lo, _, buf, off in tn.slices(tn.column(b, "text")):
-            row, pos, fp = anchors_of(buf, off)
-            if len(row):
-                yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(ids[lo + row]), pa.array(text_key[lo + row]), pa.array(pos.astype(np.int32))], ["fp", "doc_id", "text_key", "pos"])
+def _anchors(words: int):
+    def run(batches):
+        for b in batches:
+            ids, text_key = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for lo, _, buf, off in tn.slices(tn.column(b, "text")):
+                row, pos, fp = anchors_of(buf, off, words)
+                if len(row):
+                    yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(ids[lo + row]), pa.array(text_key[lo + row]), pa.array(pos.astype(np.int32))], ["fp", "doc_id", "text_key", "pos"])
+
+    return run
+
+
+def _windows(words: int):
+    """Of each context, the runs of so many words that hold its anchor, by two hashes."""
+    half = words // 2
+
+    def run(batches):
+        for b in batches:
+            fp, key, anchor, low, high = (b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            for lo, hi, buf, off in tn.slices(tn.column(b, "ctx")):
+                s, e, row = tn.tokens(buf, off, tn.INK)
+                first = np.searchsorted(row, np.arange(hi - lo + 1))
+                n, at = np.diff(first), anchor[lo:hi].astype(np.int64)
+                begin, last = np.maximum(0, at + half - words), np.minimum(at, n - words)
+                many = np.maximum(last - begin + 1, 0)
+                r = np.repeat(np.arange(hi - lo), many)
+                w = np.arange(len(r)) - np.repeat(np.cumsum(many) - many, many) + begin[r]
+                if not len(r):
+                    continue
+                x = first[r] + w
+                h0 = tn.span_hash(buf, s[x], e[x + words - 1])
+                h1 = tn.span_hash(tn.span_hash(buf, s, e), x, x + words)
+                r += lo
+                cols = [fp[r], key[r], anchor[r], w.astype(np.int32), h0.view(np.int64), h1.view(np.int64), low[r], high[r]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["fp", "ctx_key", "anchor", "a", "h0", "h1", "low", "high"])
+
+    return run
+
+
+def hot_hits(one: DataFrame, words: int) -> DataFrame:
+    """(fp, ctx_key, anchor, a, b) of the runs that two documents hold, of any number of contexts of an anchor."""
+    w = one.select("fp", "ctx_key", "anchor", "low", "high", "ctx").mapInArrow(_windows(words), "fp bigint, ctx_key bigint, anchor int, a int, h0 bigint, h1 bigint, low bigint, high bigint")
+    shared = w.groupBy("fp", "h0", "h1").agg(F.min("low").alias("x"), F.max("high").alias("y")).where("x <> y").select("fp", "h0", "h1")
+    found = w.join(small(written(shared, "hot-runs"), 48), ["fp", "h0", "h1"], "left_semi")
+    return found.select("fp", "ctx_key", "anchor", "a", (F.col("a") + words).cast("int").alias("b"))
 
 
 def _contexts(words: int):
@@ -181,12 +226,10 @@ def _shard(words: int):
     return run
 
 
-def passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, start_word, end_word, n_words) of every maximal span that recurring passages cover."""
-    if words != WORDS:
-        raise ValueError("anchors are picked for passages of WORDS words")
+def passages(docs: DataFrame, words: int = WORDS, hot: int = HOT) -> DataFrame:
+    """(doc_id, start_word, end_word, n_words) of every maximal span that recurring passages of so many words or more cover."""
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").where("doc_id is not null and text is not null")
-    found = written(d.mapInArrow(_anchors, "fp bigint, doc_id bigint, text_key bigint, pos int"), "anchors")
+    found = written(d.mapInArrow(_anchors(words), "fp bigint, doc_id bigint, text_key bigint, pos int"), "anchors")
     shared = found.groupBy("fp").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y").select("fp")
     mine = found.join(shared, "fp").groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("fp", "pos")).alias("found"))
     cut = d.join(mine, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "found")
@@ -194,9 +237,11 @@ def passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
     # Equal contexts of one anchor are looked at once, however many documents hold them.
     one = cut.groupBy("fp", "ctx_key", "anchor", "ctx").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("mark"))
     one = written(one.withColumn("mark", F.expr("cast(pmod(mark, 9223372036854775783BD) as bigint)")), "contexts-one")
+    many = small(written(one.groupBy("fp").count().where(F.col("count") > hot).select("fp"), "hot-anchors"), 16)
     shards = max(1, math.ceil(one.count() / SHARD_CONTEXTS))
-    hit = one.withColumn("shard", F.pmod(F.xxhash64("fp"), F.lit(shards))).groupBy("shard").applyInPandas(_shard(words), "fp bigint, ctx_key bigint, anchor int, a int, b int")
-    span = cut.select("fp", "ctx_key", "anchor", "doc_id", "text_key", "first_word").join(written(hit, "hits"), ["fp", "ctx_key", "anchor"])
+    hit = one.join(many, "fp", "left_anti").withColumn("shard", F.pmod(F.xxhash64("fp"), F.lit(shards))).groupBy("shard").applyInPandas(_shard(words), "fp bigint, ctx_key bigint, anchor int, a int, b int")
+    hit = written(hit.unionByName(hot_hits(one.join(many, "fp", "left_semi"), words)), "hits")
+    span = cut.select("fp", "ctx_key", "anchor", "doc_id", "text_key", "first_word").join(hit, ["fp", "ctx_key", "anchor"])
     span = span.select("doc_id", "text_key", (F.col("first_word") + F.col("a")).alias("a"), (F.col("first_word") + F.col("b")).alias("b")).distinct()
     w = W.Window.partitionBy("doc_id", "text_key").orderBy("a", "b")
     upto = F.max("b").over(w.rowsBetween(W.Window.unboundedPreceding, -1))

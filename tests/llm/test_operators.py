@@ -378,6 +378,39 @@ def test_passages_are_those_of_brute_force(spark):
     got = phrase_automata.passages(docs(spark, rows)).collect()
     assert {(r.doc_id, r.start_word, r.end_word) for r in got} == want and len(got) == len(want) and len(want) > 20
     assert phrase_automata.passages(docs(spark, rows).where("false")).count() == 0
+    # Anchors whose contexts are not brought together, some or all of them, give the same spans.
+    for hot in (1, 3):
+        split = phrase_automata.passages(docs(spark, rows), hot=hot).collect()
+        assert {(r.doc_id, r.start_word, r.end_word) for r in split} == want and len(split) == len(want)
+
+
+def _covered(rows, words):
+    """Spans of runs of so many words that two documents hold, by a dictionary of all runs."""
+    win, word, want = defaultdict(set), {}, set()
+    for i, t in rows:
+        word[i] = t.split()
+        for k in range(len(word[i]) - words + 1):
+            win[tuple(word[i][k : k + words])].add(i)
+    for i, w in word.items():
+        cur = None
+        for k in range(len(w) - words + 1):
+            if len(win[tuple(w[k : k + words])]) > 1:
+                if cur and k <= cur[1]:
+                    cur[1] = k + words
+                else:
+                    want |= {(i, *cur)} if cur else set()
+                    cur = [k, k + words]
+        want |= {(i, *cur)} if cur else set()
+    return want
+
+
+@pytest.mark.parametrize("words", [8, 21])
+def test_passages_of_other_lengths_and_very_long_texts(spark, words):
+    phrase = prose(5, words + 3)
+    rows = [(i, " ".join(prose(100 + i, 60) + phrase + prose(200 + i, 60))) for i in range(12)]
+    rows += [(20, " ".join(prose(300, 30_000) + phrase)), (21, " ".join(prose(301, 40)))]
+    got = {(r.doc_id, r.start_word, r.end_word) for r in phrase_automata.passages(docs(spark, [(i, t, "en") for i, t in rows]), words=words, hot=5).collect()}
+    assert got == _covered(rows, words) and len(got) == 13
 
 
 # 9
