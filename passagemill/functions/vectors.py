@@ -44,23 +44,36 @@ def unit(a: Column) -> Column:
     return let(norm(a), lambda n: F.transform(a, lambda x: x.cast("double") / n))
 
 
+def joined(tokens: Column) -> Column:
+    """Tokens as one text, which goes to Python faster than an array of them; split_rows takes it apart."""
+    return F.array_join(tokens, " ")
+
+
+def split_rows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(row, word number) of every token of joined texts, and the distinct words by number."""
+    lists = pc.split_pattern(texts, " ")
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    words = lists.flatten().dictionary_encode()
+    row, code = np.repeat(np.arange(len(texts)), size), words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    empty = pc.index_in(pa.scalar(""), value_set=words.dictionary).as_py()
+    keep = slice(None) if empty is None else code != empty
+    return row[keep], code[keep], words.dictionary
+
+
 @F.arrow_udf(T.ArrayType(T.DoubleType()))
-def _hashed(tokens: pa.Array, dims: pa.Array) -> pa.Array:
+def _hashed(texts: pa.Array, dims: pa.Array) -> pa.Array:
     n = dims[0].as_py() if len(dims) else 1
-    words = tokens.flatten().dictionary_encode()
-    place = np.array([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % n for w in words.dictionary.to_pylist()], np.int64)
-    size = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
-    row = np.repeat(np.arange(len(tokens)), size)
-    at = row * n + place[words.indices.to_numpy(zero_copy_only=False)] if len(row) else np.zeros(0, np.int64)
-    counts = np.bincount(at, minlength=len(tokens) * n).reshape(len(tokens), n).astype(np.float64)
+    row, code, words = split_rows(texts)
+    place = np.array([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % n for w in words.to_pylist()], np.int64)
+    counts = np.bincount(row * n + place[code], minlength=len(texts) * n).reshape(len(texts), n).astype(np.float64)
     counts /= np.maximum(np.sqrt((counts * counts).sum(axis=1, keepdims=True)), 1e-300)
-    off = pa.array(np.arange(len(tokens) + 1, dtype=np.int32) * n, mask=np.r_[np.asarray(tokens.is_null()), False] if tokens.null_count else None)
+    off = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * n, mask=np.r_[np.asarray(texts.is_null()), False] if texts.null_count else None)
     return pa.ListArray.from_arrays(off, pa.array(counts.ravel()))
 
 
 def hashed_words(tokens: Column, dims: int = 64) -> Column:
     """A bag of words by feature hashing, of unit length (zero if there are no tokens, null for null): the offline stand-in for a neural embedding."""
-    return _hashed(tokens, F.lit(dims))
+    return _hashed(joined(tokens), F.lit(dims))
 
 
 def first_k(value: np.ndarray, k: int, usable: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from passagemill.functions.text import tokens
-from passagemill.functions.vectors import first_k
+from passagemill.functions.vectors import first_k, joined, split_rows
 from passagemill.tables import small, written
 
 K1, B = 1.2, 0.75
@@ -41,11 +41,31 @@ class Index:
     avg_len: float
 
 
-def postings(chunks: DataFrame, key: str = "id") -> DataFrame:
-    """(key, term, tf, dl): how often each passage holds a term, and the passage's length in tokens."""
-    words = chunks.select(key, tokens(F.col("text")).alias("words"))
-    words = words.select(key, F.size("words").alias("dl"), F.explode("words").alias("term"))
-    return words.groupBy(key, "term").agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"))
+def _counted(key: str):
+    def run(batches):
+        for b in batches:
+            row, code, words = split_rows(b.column(1))
+            dl = np.bincount(row, minlength=b.num_rows).astype(np.int32)
+            at, tf = np.unique(row * len(words) + code, return_counts=True)
+            row, code = at // max(len(words), 1), at % max(len(words), 1)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), words.take(pa.array(code)), pa.array(tf.astype(np.int32)), pa.array(dl[row])], [key, "term", "tf", "dl"])
+
+    return run
+
+
+def postings(chunks: DataFrame, key: str = "id", unique: bool = False) -> DataFrame:
+    """(key, term, tf, dl): how often each passage holds a term, and the passage's length in tokens.
+
+    unique: no two rows have a key in common, so that rows are counted where they lie.
+    """
+    kind = T.StructType([T.StructField(key, chunks.schema[key].dataType), T.StructField("term", T.StringType()), T.StructField("tf", T.IntegerType()), T.StructField("dl", T.IntegerType())])
+    p = chunks.select(key, joined(tokens(F.col("text"))).alias("words")).mapInArrow(_counted(key), kind)
+    return p if unique else p.groupBy(key, "term").agg(F.sum("tf").cast("int").alias("tf"), F.first("dl").alias("dl"))
+
+
+def has_unique(df: DataFrame, key: str) -> bool:
+    n, distinct = df.agg(F.count("*"), F.count_distinct(key)).first()
+    return n == distinct
 
 
 def sharded(p: DataFrame, n: int, key: str = "id") -> DataFrame:
@@ -66,7 +86,7 @@ def numbers(p: DataFrame, key: str = "id") -> tuple[int, float]:
 
 def index(chunks: DataFrame, key: str = "id") -> Index:
     """An index in the shared folder, for chunks that have no stored one."""
-    p = written(postings(chunks, key), "postings")
+    p = written(postings(chunks, key, has_unique(chunks, key)), "postings")
     n, mean = numbers(p, key)
     return Index(sharded(p, n, key), written(term_counts(p), "terms"), n, mean)
 

@@ -16,7 +16,7 @@ def recreate(chunks: DataFrame, path: str) -> None:
     spark = chunks.sparkSession
     stored = open_table(spark, path)
     n = stored.count()
-    p = bm25.sharded(bm25.postings(stored.select("id", "text")), n)
+    p = bm25.sharded(bm25.postings(stored.select("id", "text"), unique=bm25.has_unique(stored, "id")), n)
     # A file holds a range of terms, so a search for few of them skips the others' files and row groups.
     p.repartitionByRange("term", "shard").sortWithinPartitions("term", "shard").write.mode("overwrite").parquet(f"{path}/postings")
     p = spark.read.schema(POSTING).parquet(f"{path}/postings")

@@ -35,6 +35,12 @@ def small(df: DataFrame, row_bytes: int | Column, limit: int = 32 << 20) -> Data
     return F.broadcast(df) if size <= limit else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table as read, dealt out over the cores if it comes in fewer splits than there are; a larger one stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def present(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
