@@ -214,8 +214,10 @@ def groups(embeddings: DataFrame, cosine: float = COSINE, rounds: int = ROUNDS,
 
     near = assigned(one, centers, dim, cosine, sigmas).repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, "a bigint, b bigint")
     root = components(near)
-    first = one.join(root.withColumnRenamed("node", "vec_id"), "vec_id", "left").select("v", F.coalesce("root", "vec_id").alias("group_id"))
-    member = e.join(first, "v").select("vec_id", "group_id").distinct()
+    # Equal vectors are found again by two hashes of 64 bits each, so that none is shuffled for it.
+    key = [F.xxhash64("v").alias("k0"), F.xxhash64(F.lit(1), "v").alias("k1")]
+    first = one.select("vec_id", *key).join(root.withColumnRenamed("node", "vec_id"), "vec_id", "left").select("k0", "k1", F.coalesce("root", "vec_id").alias("group_id"))
+    member = e.select("vec_id", *key).join(first, ["k0", "k1"]).select("vec_id", "group_id").distinct()
     sizes = member.groupBy("group_id").agg(F.count("*").alias("group_size")).where("group_size > 1")
     return member.join(sizes, "group_id").select("vec_id", "group_id", "group_size", (F.col("vec_id") == F.col("group_id")).alias("keep"))
 

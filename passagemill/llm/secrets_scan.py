@@ -43,13 +43,20 @@ ANY = "|".join((KEY_ID, PEM, PREFIXED, ASSIGNED, USER, MAIL, URL, HOST, RUN))
 LOGIN = r"[^ \t\r\n\"'<>/?#@:]*:[^ \t\r\n\"'<>/?#]+"
 #: What is searched for by itself too: a match of ANY may hold it and be of another kind, or weaker.
 INNER = ((KEY_ID, "access strong"), (PEM, "secret strong"), (PREFIXED, "secret strong"), (ASSIGNED, "secret strong"), (f"(?<=://){LOGIN}(?=@)", "secret strong"), (USER, "access weak"))
-#: Without a part of these a document has nothing to report: weak identifiers and endpoints need a secret.
-NEEDED = "|".join((KEY_ID, PEM.partition("(?:")[0], PREFIXED, ASSIGNED, RUN, f"://{LOGIN}@"))
+#: Without a match of one of these a document has nothing to report: weak identifiers and endpoints need a secret.  The first is
+#: tried only at signs that one of its branches begins with; names are looked for behind their separator.
+NEEDED = (
+    "(?=[=:Agxrs-])(?:" + "|".join((
+        r"[=:](?<=(?i:password|passwd|pwd|secret|token|api_key|apikey|access_key)[\"']?[ \t]{0,3}[=:])[ \t]{0,3}[\"']?[A-Za-z0-9+/_.~-]{8}",
+        f"://{LOGIN}@", KEY_ID, PEM.partition("[A-Z ]*")[0], r"g(?:h[pousr]_[A-Za-z0-9]{36}|ithub_pat_|lpat-)", "xox[abeoprs]-", "[rs]k[-_]", "AIza",
+    )) + ")",
+    r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32}",
+)
 
 
 def parts(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, start_pos, end_pos, kind, strength, value_md5) of every part of documents that may be reported."""
-    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.col("text").rlike(NEEDED)).distinct()
+    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.col("text").rlike(NEEDED[0]) | F.col("text").rlike(NEEDED[1])).distinct()
     search = lambda i, p: F.struct(F.lit(i).alias("search"), F.expr(f"regexp_extract_all(text, {_lit(p)}, 0)").alias("m"), F.split("text", p).alias("gap"))
     d = d.select("doc_id", F.md5("text").alias("text_key"), F.explode(F.array(*(search(i, p) for i, p in enumerate((ANY, *(p for p, _ in INNER)))))).alias("s"))
     x = d.select("doc_id", "text_key", "s.search", F.posexplode(F.arrays_zip("s.m", "s.gap"))).where("col.m is not null")

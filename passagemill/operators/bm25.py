@@ -20,12 +20,13 @@ from pyspark.sql import window as W
 
 from passagemill.functions.text import tokens
 from passagemill.functions.vectors import first_k, joined, split_rows
-from passagemill.tables import small, written
+from passagemill.tables import written
 
 K1, B = 1.2, 0.75
 SHARD_ROWS = 4096
 #: Pairs of a question and a term that are broadcast at once; more questions go in blocks.
 ASKED = 1 << 20
+BROADCAST = 32 << 20
 #: Terms up to which the scan itself filters.
 LISTED = 10_000
 _CELLS = 1 << 22
@@ -159,7 +160,9 @@ def _block(ix: Index, asked: DataFrame, k: int, qid: str, key: str) -> DataFrame
     qids = rows.column(0).combine_chunks().dictionary_encode() if rows.num_rows else pa.array([], rows.schema.field(0).type).dictionary_encode()
     words = sorted(set(rows.column(1).to_pylist()))
     wanted = spark.createDataFrame([(w, i) for i, w in enumerate(words)], "term string, number int")
-    known = {r["number"]: r["df"] for r in ix.terms.join(small(wanted, F.octet_length("term") + 32), "term").collect()}
+    if sum(map(len, words)) * 4 + 32 * len(words) <= BROADCAST:
+        wanted = F.broadcast(wanted)
+    known = {r["number"]: r["df"] for r in ix.terms.join(wanted, "term").collect()}
     number = {w: i for i, w in enumerate(words)}
     term = np.array([number[w] for w in rows.column(1).to_pylist()], np.int64)
     q = qids.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -172,7 +175,7 @@ def _block(ix: Index, asked: DataFrame, k: int, qid: str, key: str) -> DataFrame
         }
     )
     p = ix.postings.where(F.col("term").isin(words)) if len(words) <= LISTED else ix.postings
-    p = p.join(small(wanted, F.octet_length("term") + 32), "term").select("shard", key, "number", "tf", "dl")
+    p = p.join(wanted, "term").select("shard", key, "number", "tf", "dl")
     out = T.StructType([T.StructField(qid, asked.schema[qid].dataType), T.StructField(key, ix.postings.schema[key].dataType), T.StructField("score", T.DoubleType())])
     return p.repartition("shard").sortWithinPartitions("shard").mapInArrow(_kernel(sent, k, qid, key, max(ix.avg_len, 1e-9)), out)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from passagemill.operators import bm25
 from passagemill.schema import CHUNK, NUMBERS, POSTING, TERM
+from passagemill.tables import spread
 
 
 def recreate(chunks: DataFrame, path: str) -> None:
@@ -25,7 +26,7 @@ def recreate(chunks: DataFrame, path: str) -> None:
 
 
 def open_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CHUNK).parquet(f"{path}/chunks")
+    return spread(spark.read.schema(CHUNK).parquet(f"{path}/chunks"))
 
 
 def open_index(spark: SparkSession, path: str) -> bm25.Index:
