@@ -12,9 +12,15 @@ from passagemill.tables import spread
 
 def recreate(chunks: DataFrame, path: str) -> None:
     """Replace the table and its index: postings by shard of passages, the terms, and last the numbers."""
-    rows = chunks.select(*(F.col(f.name).cast(f.dataType) for f in CHUNK.fields))
-    rows.write.mode("overwrite").parquet(f"{path}/chunks")
-    spark = chunks.sparkSession
+    write_table(chunks, path)
+    write_index(chunks.sparkSession, path)
+
+
+def write_table(chunks: DataFrame, path: str) -> None:
+    chunks.select(*(F.col(f.name).cast(f.dataType) for f in CHUNK.fields)).write.mode("overwrite").parquet(f"{path}/chunks")
+
+
+def write_index(spark: SparkSession, path: str) -> None:
     stored = open_table(spark, path)
     bm25.sharded(stored.select("id", "text")).write.mode("overwrite").parquet(f"{path}/postings")
     p = spark.read.schema(POSTING).parquet(f"{path}/postings")
